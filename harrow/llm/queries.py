@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, pii, secrets
+from . import bpe, decontaminate, exact_dedup, licenses, lm, near_dedup, pii, secrets, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -25,10 +25,19 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), *vocabulary())
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
@@ -41,12 +50,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.annotate(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_bpe, op5_exact_dedup, op6_secrets, op7_pii, op9_decontamination]
+    found = [
+        op2_toxicity, op3_bpe, op4_lm, op5_exact_dedup, op6_secrets, op7_pii, op8_licenses, op9_decontamination,
+        op10_minhash,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -92,4 +112,4 @@ from d left join hit h using (r) left join items x using (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle_sql(), "op9_decontamination": OP9_SQL}
