@@ -26,7 +26,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_rows, ship
+from .common import ddl, id_text, map_rows, ship
 
 MOST_EDGES = 300_000
 MOST_WORDS = 150_000
@@ -264,6 +264,19 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _digested(own: Codec, text: str) -> tuple[list[int], str, str, int]:
+    """The ids of a text, their digest, the digest of what they decode to, and its code points."""
+    ids = own.encode(text)
+    stream, digest, chars = StreamDecoder(own.transducer.tokens), hashlib.sha256(), 0
+    for at in range(0, len(ids) + 1, 100_000):
+        piece = stream.feed(ids[at : at + 100_000])
+        digest.update(piece.encode("utf-8"))
+        chars += len(piece)
+    piece = stream.finish()
+    digest.update(piece.encode("utf-8"))
+    return ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), digest.hexdigest(), chars + len(piece)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, and the code points decoded."""
     ship(docs.sparkSession)
@@ -271,16 +284,8 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     def run(rows):
         own = codec(path, pattern)
         for doc_id, text in rows:
-            ids = own.encode(text)
-            stream = StreamDecoder(own.transducer.tokens)
-            digest, chars = hashlib.sha256(), 0
-            for at in range(0, len(ids), 100_000):
-                piece = stream.feed(ids[at : at + 100_000])
-                digest.update(piece.encode("utf-8"))
-                chars += len(piece)
-            piece = stream.finish()
-            digest.update(piece.encode("utf-8"))
-            yield doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), digest.hexdigest(), chars + len(piece)
+            ids, ids_sha, decoded_sha, chars = _digested(own, text)
+            yield doc_id, len(ids), ids_sha, decoded_sha, chars
 
     return map_rows(
         docs.select(*id_text(doc_id, text)), run,
@@ -288,11 +293,25 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     )
 
 
+def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    ship(docs.sparkSession)
+
+    def run(rows):
+        own = codec(path, pattern)
+        for doc_id, text in rows:
+            ids, ids_sha, decoded_sha, _ = _digested(own, text)
+            yield doc_id, ids, len(ids), ids_sha, decoded_sha
+
+    return map_rows(
+        docs.select(*id_text(doc_id, text)), run,
+        "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", per_batch=200,
+    )
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """The documents with an array of token ids in column ``into``; other columns pass through."""
     ship(docs.sparkSession)
-    from .decontaminate import _ddl
-
     docs = docs.drop(into)
     at = docs.columns.index(text)
 
@@ -301,14 +320,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
         for row in rows:
             yield *row, own.encode(row[at] or "")
 
-    return map_rows(docs, run, f"{_ddl(docs)}, `{into}` array<int>", per_batch=200)
+    return map_rows(docs, run, f"{ddl(docs)}, `{into}` array<int>", per_batch=200)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """The rows with the text of their token ids in column ``into``; other columns pass through."""
     ship(encoded.sparkSession)
-    from .decontaminate import _ddl
-
     encoded = encoded.drop(into)
     at = encoded.columns.index(ids)
 
@@ -318,4 +335,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into:
             stream = StreamDecoder(own.transducer.tokens)
             yield *row, stream.feed(row[at] or ()) + stream.finish()
 
-    return map_rows(encoded, run, f"{_ddl(encoded)}, `{into}` string", per_batch=200)
+    return map_rows(encoded, run, f"{ddl(encoded)}, `{into}` string", per_batch=200)

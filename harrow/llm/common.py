@@ -62,6 +62,11 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
     return frame.mapInArrow(run, schema)
 
 
+def ddl(frame: DataFrame) -> str:
+    """The frame's columns as a schema string."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers that start from now on import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, id_text, map_rows, ship
+from .common import WORD_BYTES, ddl, id_text, map_rows, ship
 
 WINDOW = 10
 #: Bytes of item text in one automaton (some 20 times that in a worker's memory).
@@ -195,7 +195,7 @@ def _scanned(frame: DataFrame, text: str, benchmark: DataFrame, finish, schema:
     spark = frame.sparkSession
     ship(spark)
     width, at = len(frame.columns), frame.columns.index(text)
-    carried = _ddl(frame) + ", `__spans` array<long>, `__items` array<string>"
+    carried = ddl(frame) + ", `__spans` array<long>, `__items` array<string>"
     blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
     for k, items in enumerate(blocks):
         shared = spark.sparkContext.broadcast([x for x in items if x[1]])
@@ -260,11 +260,7 @@ def decontaminate(
             row[names.index("n_chars")] = len(row[at])
         return tuple(row)
 
-    return _scanned(docs, text, benchmark, finish, _ddl(docs), item_id, item_text, window, block_bytes)
-
-
-def _ddl(frame: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    return _scanned(docs, text, benchmark, finish, ddl(docs), item_id, item_text, window, block_bytes)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

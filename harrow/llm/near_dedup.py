@@ -17,7 +17,7 @@ limit (4.5 standard deviations), 4 in a million; both fall fast as similarity ri
 * null or empty text, or one without words: n_shingles 0, a component of its own;
 * fewer words than a shingle has: the whole sequence is the one shingle;
 * null doc_id: linked like any other, never the smallest unless no row of the component has an id;
-* rows that repeat a doc_id: a row each, kept alike; ``dedup`` returns one of them;
+* rows that repeat a doc_id: a row each, kept alike; ``dedup`` returns one row of each component;
 * very long text: its set in a worker's memory, minima in slices; empty table: no rows;
 * further columns, whatever their names, pass through ``dedup`` unread.
 """
@@ -42,7 +42,7 @@ MINIMA, BITS, BANDS, ROWS = 512, 2, 32, 4
 BLOCK = 256
 #: Standard deviations below the threshold at which an estimate still counts.
 MARGIN = 4.5
-#: Ids that may be broadcast (8 bytes each); with more the join shuffles.
+#: Ids with hashes that may be broadcast (16 bytes each); with more the join shuffles.
 MOST_BROADCAST_IDS = 500_000
 
 _random = np.random.default_rng(20)
@@ -122,20 +122,19 @@ def is_link(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (digest of the set; null without words), n_shingles, bands, sig of every document."""
+    """doc_id, text_hash, node (digest of the set; null without words), n_shingles, bands, sig of every document."""
 
     def run(rows):
-        for i, t in rows:
+        for i, t, h in rows:
             s = shingles(t)
             if not len(s):
-                yield i, None, 0, None, None
+                yield i, h, None, 0, None, None
                 continue
             low = minima(s)
-            yield i, xxhash.xxh3_128_digest(s.tobytes()), len(s), band_keys(low), packed(low)
+            yield i, h, xxhash.xxh3_128_digest(s.tobytes()), len(s), band_keys(low), packed(low)
 
-    return map_rows(
-        docs.select(*id_text(doc_id, text)), run, "doc_id long, node binary, n_shingles long, bands array<long>, sig binary"
-    )
+    plain = docs.select(*id_text(doc_id, text)).withColumn("text_hash", F.xxhash64("text"))
+    return map_rows(plain, run, "doc_id long, text_hash long, node binary, n_shingles long, bands array<long>, sig binary")
 
 
 def units(sketched: DataFrame) -> DataFrame:
@@ -257,6 +256,11 @@ def _texts(docs: DataFrame, doc_id: str, text: str, sketched: DataFrame, nodes:
 
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _annotated(docs, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``annotate`` with text_hash, and root: the same for all rows of a component of two rows or more, else null."""
     ship(docs.sparkSession)
     sketched = written(sketches(docs, doc_id, text))
     unit_rows = written(units(sketched))
@@ -276,27 +280,33 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     named = classes.join(roots, "node", "left").filter("copies > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    special = written(named.join(least, "root").select("node", "component_id", F.lit(True).alias("grouped")))
-    out = sketched.select("doc_id", "n_shingles", "node").join(special, "node", "left")
-    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    out = written(
-        out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-    )
+    special = written(named.join(least, "root").select("node", "root", "component_id"))
+    out = sketched.select("doc_id", "text_hash", "n_shingles", "node").join(special, "node", "left")
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    out = written(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), "root"))
     drop_written(sketched, unit_rows, texts, first, links, rest, special)
     return out
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    found = annotate(docs, doc_id, text)
-    gone = written(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(_bounded(gone), F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    # An id that several rows of one component carry stays once; such rows are few and only they are dealt by id.
-    grouped = found.filter("kept and n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).filter("n > 1")
-    again = written(grouped.select(F.col("doc_id").alias("__again")).distinct())
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Rows are named by id and text hash, so that rows which repeat an id, or have none, go separate ways.
+    """
+    grouped = _annotated(docs, doc_id, text).filter("root is not null")
+    chosen = grouped.filter("kept").groupBy("root").agg(F.min("text_hash").alias("stay"))
+    judged = grouped.join(chosen, "root").withColumn("stays", F.expr("kept and text_hash = stay"))
+    name = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    gone = written(judged.filter("not stays").select(*name).distinct())
+    again = written(judged.filter("stays").groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")
+    )
+    kept = docs.join(_bounded(gone), same, "left_anti")
     if again.isEmpty():
         return kept
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__again"))
+    # Rows that repeat id and text; few, and only they are dealt by them.
     once = kept.join(_bounded(again), same, "left_anti")
-    repeated = kept.join(_bounded(again), same, "left_semi").dropDuplicates([doc_id])
+    repeated = kept.join(_bounded(again), same, "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(repeated)

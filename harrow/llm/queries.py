@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, licenses, lm, near_dedup, pii, secrets, toxicity
+from . import bpe, decontaminate, exact_dedup, licenses, lm, near_dedup, pii, secrets, substring_dedup, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -25,6 +25,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_toxicity, op3_bpe, op4_lm, op5_exact_dedup, op6_secrets, op7_pii, op8_licenses, op9_decontamination,
+        op1_substring_dedup, op2_toxicity, op3_bpe, op4_lm, op5_exact_dedup, op6_secrets, op7_pii, op8_licenses, op9_decontamination,
         op10_minhash,
     ]
     return {f.__name__: f for f in found}

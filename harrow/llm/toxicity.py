@@ -34,7 +34,7 @@ MOST_LABELS = 20_000
 MOST_FEATURES = 4096
 PREFIX_BYTES = 5
 #: A feature needs this many documents and this chi squared (one degree of freedom).
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 LEAST_CHI2 = 20.0
 #: Expected severity from which a document is rejected.
 CUT = 0.5
@@ -79,7 +79,7 @@ class CumulativeLink:
         return sum(k * p for k, p in enumerate(self.grades(self.latent(text))))
 
 
-def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int, rounds: int = 600, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int, rounds: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from (grade, {feature: value}) rows, by full-batch Adam on the mean log loss."""
     grade = np.array([g for g, _ in rows])
     doc = np.array([i for i, (_, x) in enumerate(rows) for _ in x], dtype=np.int64)
