@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 P(severity <= k) = sigmoid(t_k - w.x): the thresholds t_k are ordered and share one weight vector w. A
-feature is a word or a word's first bytes, its value the log of one plus its count. Fitting takes a
+feature is a word or a longer word's first 4 to 9 bytes, with two values: that it occurs, and how often
+among the words, on a log scale. (A marked word is telling by itself, a chance beginning by its rate.) Fitting takes a
 sample of labelled rows, the ``MOST_LABELS`` smallest by a hash of the id; features are counted on the
 executors, and those are kept whose documents' labels differ most (chi squared). The model has at
 most ``MOST_FEATURES`` weights, so its broadcast is bounded; scoring is one pass without a shuffle.
@@ -29,46 +30,63 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, id_text, map_rows, ship
 
-#: Bounds of the fit: labelled rows, weights, and the bytes of a word's beginning.
+#: Bounds of the fit: labelled rows and weights.
 MOST_LABELS = 20_000
 MOST_FEATURES = 4096
-PREFIX_BYTES = 5
+#: Bytes of a word's beginning that make a feature.
+PREFIXES = range(4, 10)
 #: A feature needs this many documents and this chi squared (one degree of freedom).
-LEAST_DOCS = 3
-LEAST_CHI2 = 20.0
+LEAST_DOCS = 4
+LEAST_CHI2 = 25.0
 #: Expected severity from which a document is rejected.
 CUT = 0.5
 
 
+def rate(n: int, n_words: int) -> float:
+    """How often something occurs among the words, damped in short texts."""
+    return math.log1p(200 * n / (n_words + 50))
+
+
 def features(text: str) -> Counter:
-    """Words, and under a leading '^' the first bytes of longer words, with their counts."""
+    """Words, and under a leading '^' the beginnings of longer words, with their counts."""
     words = Counter(alnum_words(text or ""))
     out = Counter(words)
     for w, n in words.items():
-        if len(w) > PREFIX_BYTES:
-            out[b"^" + w[:PREFIX_BYTES]] += n
+        for size in PREFIXES:
+            if len(w) <= size:
+                break
+            out[b"^" + w[:size]] += n
     return out
 
 
 @dataclass(frozen=True)
 class CumulativeLink:
-    """Weights by feature and ordered thresholds."""
+    """Weights by feature, for its occurrence and for its rate, and ordered thresholds."""
 
-    weights: dict[bytes, float]
+    weights: dict[bytes, tuple[float, float]]
     thresholds: tuple[float, ...]
+    begins: frozenset[bytes] = frozenset()
+
+    def __post_init__(self) -> None:
+        # Most words are settled by one look at their first bytes.
+        short = {f[1 : 1 + PREFIXES[0]] for f in self.weights if f[:1] == b"^"}
+        object.__setattr__(self, "begins", frozenset(short))
 
     def latent(self, text: str) -> float:
-        if not self.weights:
+        known, first = self.weights, PREFIXES[0]
+        if not known:
             return 0.0
-        words = alnum_words(text or "")
-        found: Counter = Counter()
-        known = self.weights
-        for w in words:
-            if w in known:
-                found[w] += 1
-            if len(w) > PREFIX_BYTES and (p := b"^" + w[:PREFIX_BYTES]) in known:
-                found[p] += 1
-        return sum(known[f] * math.log1p(n) for f, n in sorted(found.items()))
+        words = Counter(alnum_words(text or ""))
+        total = sum(words.values())
+        found = {w: words[w] for w in known.keys() & words.keys()}
+        for w, n in words.items():
+            if w[:first] in self.begins:
+                for size in PREFIXES:
+                    if len(w) <= size:
+                        break
+                    if (p := b"^" + w[:size]) in known:
+                        found[p] = found.get(p, 0) + n
+        return sum(known[f][0] + known[f][1] * rate(n, total) for f, n in sorted(found.items()))
 
     def grades(self, latent: float) -> list[float]:
         """The probability of each grade."""
@@ -79,7 +97,7 @@ class CumulativeLink:
         return sum(k * p for k, p in enumerate(self.grades(self.latent(text))))
 
 
-def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int, rounds: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int, rounds: int = 600, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from (grade, {feature: value}) rows, by full-batch Adam on the mean log loss."""
     grade = np.array([g for g, _ in rows])
     doc = np.array([i for i, (_, x) in enumerate(rows) for _ in x], dtype=np.int64)
@@ -108,6 +126,14 @@ def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int
     return params[:n_features], params[n_features] + np.r_[0, np.cumsum(np.exp(params[n_features + 1 :]))]
 
 
+def values(columns: list[int], counts: list[int], n_words: int) -> dict[int, float]:
+    """A document's two values for each of its kept features."""
+    out = {}
+    for c, n in zip(columns, counts, strict=True):
+        out[2 * c], out[2 * c + 1] = 1.0, rate(n, n_words)
+    return out
+
+
 def chi2(a: int, b: int, n_a: int, n_b: int) -> float:
     """Of a feature in a of n_a and b of n_b documents."""
     n, hit = n_a + n_b, a + b
@@ -174,11 +200,9 @@ def train(
     else:
         grades = [max(0, r.grade) for r in rows]
     levels = {g: k for k, g in enumerate(sorted(set(grades)))}
-    weights, cuts = fit(
-        [(levels[g], dict(zip(r.cols, map(math.log1p, r.ns), strict=True))) for g, r in zip(grades, rows, strict=True)],
-        len(names), len(levels),
-    )
-    return CumulativeLink(dict(zip(names, weights.tolist(), strict=True)), tuple(cuts.tolist()))
+    weights, cuts = fit([(levels[g], values(r.cols, r.ns, r.words)) for g, r in zip(grades, rows, strict=True)], 2 * len(names), len(levels))
+    pairs = weights.reshape(-1, 2).tolist()
+    return CumulativeLink({f: (a, b) for f, (a, b) in zip(names, pairs, strict=True)}, tuple(cuts.tolist()))
 
 
 def score(docs: DataFrame, model: CumulativeLink, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
