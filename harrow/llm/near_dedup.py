@@ -8,8 +8,9 @@
 3. In a block the similarity of all pairs is estimated at once from counts of equal bit pairs,
    corrected for chance collisions. What leaves the block is a spanning forest of the best pairs.
 4. Pairs are confirmed on full sets, and linked nodes become components.
-5. Every further pair of a bucket that could be a link and joins two components is confirmed too. So
-   all links count, but copies among themselves are never listed.
+5. Every further pair of a bucket that could be a link and joins two components is confirmed too, in
+   the block, where the full sets of the nodes concerned meet. So all links count, but pairs are never
+   listed: what leaves a block are its nodes, and links that join components.
 
 Chances of missing a link at similarity 0.75: no shared band, 5 in a million; an estimate under the
 limit (4.5 standard deviations), 4 in a million; both fall fast as similarity rises.
@@ -122,35 +123,37 @@ def is_link(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (digest of the set; null without words), n_shingles, bands, sig of every document."""
+    """doc_id, text_hash, node (digest of the set; null without words), n_shingles, bands, sig and keys (the bands, short)."""
 
     def run(rows):
         for i, t, h in rows:
             s = shingles(t)
             if not len(s):
-                yield i, h, None, 0, None, None
+                yield i, h, None, 0, None, None, None
                 continue
             low = minima(s)
-            yield i, h, xxhash.xxh3_128_digest(s.tobytes()), len(s), band_keys(low), packed(low)
+            bands = band_keys(low)
+            keys = np.array(bands, np.int64).astype(np.uint32).tobytes()
+            yield i, h, xxhash.xxh3_128_digest(s.tobytes()), len(s), bands, packed(low), keys
 
     plain = docs.select(*id_text(doc_id, text)).withColumn("text_hash", F.xxhash64("text"))
-    return map_rows(plain, run, "doc_id long, text_hash long, node binary, n_shingles long, bands array<long>, sig binary")
+    return map_rows(plain, run, "doc_id long, text_hash long, node binary, n_shingles long, bands array<long>, sig binary, keys binary")
 
 
 def units(sketched: DataFrame) -> DataFrame:
-    """unit, node, n, sig, side: the blocks that are compared. ``side`` tells the two blocks of a unit apart."""
+    """unit, at, node, n, sig, keys: the blocks that are compared, for the band with number ``at``."""
     nodes = sketched.filter("node is not null").dropDuplicates(["node"])
-    placed = nodes.select("node", F.explode("bands").alias("band"))
+    placed = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     full = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = placed.join(full, "band")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.select("node", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    # Which nodes meet in a bucket does not depend on the band; the same small group often meets in many.
+    dealt = members.select("node", "at", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     unit = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    keyed = dealt.select("node", unit.alias("unit"), side.alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    return keyed.join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").select("unit", "node", "n", "sig", "side", "same")
+    keyed = dealt.select("node", "at", unit.alias("unit"))
+    return keyed.join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "keys"), "node").select(
+        "unit", "at", "node", "n", "sig", "keys"
+    )
 
 
 def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -196,25 +199,93 @@ def best_pairs(unit_rows: DataFrame) -> DataFrame:
     return map_rows(keyed, run, "a binary, b binary").distinct()
 
 
-def cross_pairs(unit_rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: every pair of a unit that may be a link between two different components."""
+def _cross(group: list[tuple], least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, js): rows k < js of a unit that may be a link between components, in their first common band.
+
+    Rows are (unit, at, node, n, sig, keys, root, ...).
+    """
+    numbers: dict[bytes, int] = {}
+    root = np.array([numbers.setdefault(r[6], len(numbers)) for r in group])
+    if len(numbers) < 2:
+        return
+    sigs = np.frombuffer(b"".join(r[4] for r in group), np.uint64).reshape(len(group), -1)
+    keys = np.frombuffer(b"".join(r[5] for r in group), np.uint32).reshape(len(group), BANDS)
+    sizes = np.array([r[3] for r in group])
+    at = group[0][1]
+    for k in range(len(group) - 1):
+        js = np.flatnonzero((_possible(k, sigs, sizes, least) >= 0) & (root != root[k]))
+        js = js[js > k]
+        if len(js):
+            js = js[(keys[js, :at] != keys[k, :at]).all(axis=1)]
+        if len(js):
+            yield k, js
+
+
+def _shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs: products of the incidence matrix, a slice of shingles at a time."""
+    every, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(every), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def cross_links(unit_rows: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between different components that no forest of best pairs had, confirmed on full sets.
+
+    The first pass names the nodes of each unit that such a link could touch; the second gets their
+    texts, compares their sets in the unit, and lets a spanning part of the links out.
+    """
     least = least_equal()
 
-    def run(rows):
+    def concerned(rows):
+        for group in _groups(rows):
+            touched: set[int] = set()
+            for k, js in _cross(group, least):
+                touched.add(k)
+                touched.update(js.tolist())
+            for k in sorted(touched):
+                yield group[k]
+
+    def links(rows):
         for group in _groups(rows):
-            if len({r[4] for r in group}) < 2:
+            pairs = list(_cross(group, least))
+            if not pairs:
                 continue
-            sigs = np.frombuffer(b"".join(r[3] for r in group), np.uint64).reshape(len(group), -1)
-            sizes = np.array([r[2] for r in group])
-            numbers: dict[bytes, int] = {}
-            root = np.array([numbers.setdefault(r[4], len(numbers)) for r in group])
-            for k in range(len(group) - 1):
-                for j in np.flatnonzero((_possible(k, sigs, sizes, least) >= 0) & (root != root[k])).tolist():
-                    if j > k:
-                        yield sorted((group[k][1], group[j][1]))
-
-    named = unit_rows.join(roots, "node", "left").select("unit", "node", "n", "sig", F.coalesce("root", "node").alias("root"))
-    return map_rows(named.repartition("unit").sortWithinPartitions("unit", "node"), run, "a binary, b binary").distinct()
+            sets = [shingles(r[7]) for r in group]
+            sizes = np.array([len(x) for x in sets])
+            n = sum(len(js) for _, js in pairs)
+            # A comparison of two sets costs some 100 ns an element, a product far less.
+            shared = _shared_sizes(sets) if n > 2 * len(group) else None
+            joined = {r[6]: r[6] for r in group}
+
+            def find(x, joined=joined):
+                while joined[x] != x:
+                    joined[x] = x = joined[joined[x]]
+                return x
+
+            for k, js in pairs:
+                if shared is not None:
+                    both = shared[k, js]
+                    js = js[100 * both >= SIMILARITY * (sizes[k] + sizes[js] - both)]
+                for j in js.tolist():
+                    x, y = find(group[k][6]), find(group[j][6])
+                    if x != y and is_link(sets[k], sets[j]):
+                        joined[x] = y
+                        yield sorted((group[k][2], group[j][2]))
+
+    head = "unit long, at int, node binary, n long, sig binary, keys binary, root binary"
+    named = unit_rows.join(roots, "node", "left")
+    named = named.select("unit", "at", "node", "n", "sig", "keys", F.coalesce("root", "node").alias("root"))
+    few = map_rows(named.repartition("unit").sortWithinPartitions("unit", "node"), concerned, head)
+    full = few.join(texts, "node").select("unit", "at", "node", "n", "sig", "keys", "root", "text")
+    return map_rows(full.repartition("unit").sortWithinPartitions("unit", "node"), links, "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -269,12 +340,9 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     first = written(best_pairs(unit_rows))
     links = written(confirmed(first, texts))
     roots = components(links)
-    rest = written(cross_pairs(unit_rows, roots).join(first, ["a", "b"], "left_anti"))
+    rest = written(cross_links(unit_rows, roots, texts))
     if not rest.isEmpty():
-        more = written(links.unionByName(confirmed(rest, texts)))
-        roots = components(more)
-        drop_written(links)
-        links = more
+        roots = components(links.unionByName(rest))
     # Of each node with copies or links, the smallest id of all that it can reach.
     classes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     named = classes.join(roots, "node", "left").filter("copies > 1 or root is not null")
