@@ -84,7 +84,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing."""
+    """The frame as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing.
+
+    An aggregate that is joined on its own key is written first, too: Spark only splits the large
+    partitions of a join if both sides come straight from an exchange.
+    """
     spark = frame.sparkSession
     folder = shared_folder(spark)
     frame.write.parquet(folder)

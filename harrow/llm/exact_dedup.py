@@ -48,7 +48,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     3. A second pass reads in full and hashes only texts whose length and prefix survived.
     """
     counted = written(_keyed(docs, text).groupBy("len", "prefix").agg(F.count("*").alias("n")))
-    lengths = counted.groupBy("len").agg(F.sum("n").alias("m")).filter("m > 1").select("len")
+    lengths = written(counted.groupBy("len").agg(F.sum("n").alias("m")).filter("m > 1").select("len"))
     survivors = written(counted.filter("n > 1").join(lengths, "len", "left_semi").select("len", "prefix"))
     norm = normalised(text)
     wide = docs.select(
@@ -71,7 +71,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n")).getField("n").alias("n_keep"),
     )
     groups = written(groups.filter("group_size > 1"))
-    drop_written(counted, survivors)
+    drop_written(counted, lengths, survivors)
     return groups
 
 
@@ -101,6 +101,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.withColumn("__sha", F.sha2(normalised(text), 256)).join(_bounded(groups), "__sha", "left")
     stays = F.col("__grouped").isNull() | F.col(doc_id).cast("long").eqNullSafe(F.col("__keep"))
     rows = rows.filter(stays)
+    if groups.filter("__n > 1").isEmpty():
+        return rows.select(*docs.columns)
     once = rows.filter("__grouped is null or __n = 1")
     repeated = rows.filter("__n > 1").dropDuplicates(["__sha"])
     return once.unionByName(repeated).select(*docs.columns)

@@ -144,7 +144,7 @@ def units(sketched: DataFrame) -> DataFrame:
     """unit, at, node, n, sig, keys: the blocks that are compared, for the band with number ``at``."""
     nodes = sketched.filter("node is not null").dropDuplicates(["node"])
     placed = nodes.select("node", F.posexplode("bands").alias("at", "band"))
-    full = placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    full = written(placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
     members = placed.join(full, "band")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -335,7 +335,7 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     ship(docs.sparkSession)
     sketched = written(sketches(docs, doc_id, text))
     unit_rows = written(units(sketched))
-    nodes = unit_rows.select("node").distinct()
+    nodes = written(unit_rows.select("node").distinct())
     texts = _texts(docs, doc_id, text, sketched, nodes)
     first = written(best_pairs(unit_rows))
     links = written(confirmed(first, texts))
@@ -353,7 +353,7 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     out = written(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), "root"))
-    drop_written(sketched, unit_rows, texts, first, links, rest, special)
+    drop_written(sketched, unit_rows, nodes, texts, first, links, rest, special)
     return out
 
 

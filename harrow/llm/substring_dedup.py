@@ -221,16 +221,16 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = _keyed(docs, doc_id, text)
     # Texts that are too short for a string need no look.
     every = written(_contexts(keyed.filter(F.octet_length("text") >= length), length, span))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = written(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     rows = written(every.join(shared, "bucket"))
     same = ["bucket", "u1", "u2"]
     counted = written(rows.groupBy(*same).agg(F.count("*").alias("t"), F.min("tid").alias("tid")))
     ranges = [written(rows.join(counted.filter("t > 1").select(*same), same).select("k1", "k2", "p", "low", "high"))]
     open_ = counted.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("t") == 1).cast("int")).alias("ones"))
-    open_ = open_.filter("d > 1 and ones > 0").select("bucket", "d")
+    open_ = written(open_.filter("d > 1 and ones > 0").select("bucket", "d"))
     named = counted.join(open_, "bucket").select("tid", "t", "d")
     wanted = written(rows.join(named, "tid").select("bucket", "t", "d", "k1", "k2", "p", "low", "high"))
-    drop_written(every, rows, counted)
+    drop_written(every, shared, rows, counted, open_)
 
     def cut(rows):
         for k1, text, k2, places in rows:
@@ -254,14 +254,15 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if hot.isEmpty():
             break
         cuts = written(_narrower(hot, width, length))
-        totals = cuts.groupBy(*same).agg(F.sum("t").alias("total"))
+        totals = written(cuts.groupBy(*same).agg(F.sum("t").alias("total")))
         cuts_now = cuts.join(totals, same)
         ranges.append(written(cuts_now.filter("total > 1 and t = 1").select("k1", "k2", "p", "low", "high")))
         left = cuts_now.withColumn("t", F.col("total")).drop("total").dropDuplicates(same)
         sizes = totals.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("total") == 1).cast("int")).alias("ones"))
-        left = written(left.join(sizes.filter("d > 1 and ones > 0").select("bucket", "d"), "bucket"))
+        sizes = written(sizes.filter("d > 1 and ones > 0").select("bucket", "d"))
+        left = written(left.join(sizes, "bucket"))
         ranges.append(written(_sorted_out(left.filter(F.col("d") <= MOST_CONTEXTS), length)))
-        drop_written(cuts)
+        drop_written(cuts, totals, sizes)
         hot = left.filter(F.col("d") > MOST_CONTEXTS)
     found = ranges[0]
     for r in ranges[1:]:

@@ -270,6 +270,10 @@ def test_op9(spark):
     assert reported(queries.op9_decontamination(spark, SF)) == want and any(x[5] for x in want)
 
 
+def test_op9_sql(spark):
+    assert_same(queries.op9_decontamination(spark, SF), queries.OP9_SQL, connect(SF))
+
+
 def test_op9_random(spark):
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
