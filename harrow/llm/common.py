@@ -17,6 +17,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: Characters or items of an output batch.
+MOST_BATCH = 16_000_000
+
+
 def alnum_words(text: str) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
@@ -36,12 +40,13 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
     """``rows`` turns an iterator over a partition's rows into one over result rows.
 
     Arrow batches are read and written in turn, so a worker holds one batch of input and one of output,
-    whatever the size of the partition.
+    whatever the size of the partition. Spark bounds the input's bytes; an output batch ends at
+    ``per_batch`` rows, or at MOST_BATCH characters or items where ``per_batch`` is not set for short rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow, weighed = to_arrow_schema(_parse_datatype_string(schema)), per_batch <= 2000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given():
@@ -50,14 +55,20 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
                 for at in range(0, b.num_rows, 256):
                     yield from zip(*(c.slice(at, 256).to_pylist() for c in columns), strict=True)
 
-        held = []
+        def batch(held):
+            columns = zip(zip(*held, strict=True), arrow, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=arrow)
+
+        held, size = [], 0
         for row in rows(given()):
             held.append(row)
-            if len(held) >= per_batch:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
-                held = []
+            if weighed:
+                size += sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
+            if len(held) >= per_batch or size >= MOST_BATCH:
+                yield batch(held)
+                held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+            yield batch(held)
 
     return frame.mapInArrow(run, schema)
 
