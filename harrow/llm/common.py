@@ -18,7 +18,7 @@ WORD_BYTES = bytes(
 
 
 #: Characters or items of an output batch.
-MOST_BATCH = 16_000_000
+MOST_BATCH = 1_000_000
 
 
 def alnum_words(text: str) -> list[bytes]:
@@ -78,8 +78,18 @@ def ddl(frame: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)
 
 
+#: Bytes of an input batch; Spark's own bound is eight times that, in the JVM and again in each worker.
+INPUT_BATCH = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that start from now on import this package from where the driver has it."""
+    """Let Python workers that start from now on import this package from where the driver has it.
+
+    Their Arrow batches are kept small, unless the session has a bound of its own.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
+        spark.conf.set(key, INPUT_BATCH)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
