@@ -112,7 +112,7 @@ def test_lm_is_a_distribution(spark):
     corpus = lm.corpus_of(lm.count_words(docs))
     w = lm.train(docs, corpus)
     reader = lm.Reader(corpus)
-    _, _, _, _, rows = reader.read(texts(spark)[3][1])
+    *_, rows = reader.read([texts(spark)[3][1]])
     rows = rows[:, :5]
     classes = np.exp(lm.log_probs(w, np.zeros(5, int), rows))
     assert np.allclose(classes.sum(axis=1), 1, atol=1e-4)
@@ -130,6 +130,16 @@ def test_lm_is_a_distribution(spark):
     assert all(abs(mass[k] - corpus.tail_mass[k]) < 1e-6 for k in range(lm.TAIL))
 
 
+def test_reader_keeps_texts_apart():
+    corpus = lm.Corpus(3, 2, [b"a", b"b"], np.array([2.0, 1.0]), np.zeros(lm.TAIL))
+    reader = lm.Reader(corpus)
+    together = reader.read(["a b c a", "", "b", "x y z"])
+    apart = [reader.read([t]) for t in ("a b c a", "", "b", "x y z")]
+    assert together[0] == [w for x in apart for w in x[0]] and together[1].tolist() == [0, 5, 6, 8]
+    for k in (2, 3, 4, 5):
+        assert np.array_equal(together[k], np.concatenate([x[k] for x in apart], axis=-1))
+
+
 def brute_components(rows):
     sets, ids = [], [i for i, _ in rows]
     for _, t in rows:
