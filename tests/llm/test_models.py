@@ -85,8 +85,9 @@ def test_op8(spark):
 
 def test_op8_odd(spark, tmp_path):
     mit, apache = licenses.NOTICES[5][1], licenses.NOTICES[0][1]
+    # DuckDB copies a text's words for each of its words, so the very long text is scanned by itself below.
     texts = [
-        *ODD, (5, f"x {mit.upper()} y"), (6, f"the {apache} and MIT  license, mit-license; licenſe"), (7, "mit licenKse Kind"),
+        *(r for r in ODD if r[0] != 4), (5, f"x {mit.upper()} y"), (6, f"the {apache} and MIT  license, mit-license; licenſe"), (7, "mit licenKse Kind"),
         (8, mit.replace("free of charge", "free of any charge")), (9, "general public license"), (10, "Général public license é"),
         (5, f"x {mit.upper()} y"), (11, " ".join(mit.split()[:6])), (12, "--mit license--"),
     ]
@@ -97,6 +98,8 @@ def test_op8_odd(spark, tmp_path):
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[5].labels == rows[8].labels == "mit" and rows[5].score == 1 > rows[8].score >= licenses.LEAST_COVERAGE
     assert rows[6].base_labels == "apache,mit" and rows[6].n_base == 3 and rows[11].labels == "" and rows[12].first_word == 0
+    long = licenses.scan(spark.createDataFrame([(4, "x " * 100_000 + mit)], "doc_id long, text string")).collect()
+    assert long[0].n_words == 100_000 + len(mit.split()) and long[0].labels == "mit"
     assert canonical(got.columns, got.limit(0).collect())[1] == [] and licenses.scan(docs.limit(0)).count() == 0
 
 
