@@ -212,6 +212,22 @@ def test_op7_added(spark):
     assert pii.scan(odd(spark)).count() == len(ODD) and pii.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_op7_iban_in_text():
+    for before, iban, after in [
+        ("", "DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("", "DE89370400440532013000", " 2024-01-01"),
+        ("", "GB82WEST12345698765432", " I paid"), ("REF AB12 CODE ", "DE89 3704 0044 0532 0130 00", " AND MORE"),
+        ("", "QQ11370400440532013000", ""), ("", "NO9386011117947", " OK"),
+    ]:
+        if iban.startswith("QQ"):  # no country's length: any group's end will do
+            iban = next(x for k in range(100) if pii.mod97(x := f"QQ{k:02d}370400440532013000"))
+            after = " BIC"
+        text = before + iban + after
+        assert [text[a:b] for _, a, b in pii.added_spans(text, [])] == [iban]
+    two = "DE89370400440532013000 GB82WEST12345698765432 X"
+    assert [two[a:b] for a, b in pii.ibans(two)] == two.split()[:2]
+    assert list(pii.ibans("DE8937040044053201300 DE89370400440532013000X DE89370400440532013001")) == []
+
+
 def test_op5(spark):
     assert_same(queries.op5_exact_dedup(spark, SF), queries.OP5_SQL, connect(SF))
 
