@@ -1,9 +1,10 @@
 """Secret scan: base patterns, and a token-efficiency test for random strings.
 
 A vocabulary made from ordinary text spends few tokens on words and many on random strings: keys and
-passwords come out at under ``MOST_RATIO`` characters a token. Runs of key-like characters that mix
-letters and digits are measured after digests of the usual lengths, UUIDs, dates and other known
-identifiers are excluded. Spans of the base patterns always stay.
+passwords come out at under ``MOST_RATIO`` characters a token. Runs of key-like characters are
+measured as a whole; in those that pass, or that hold a digest of a usual length, a UUID, a date or
+another known identifier, what lies between such identifiers and readable parts is measured by itself.
+Spans of the base patterns always stay.
 
 * null or empty text: no spans; very long text: linear time, whole; repeated documents: a row each;
 * null doc_id: kept as null; empty table: no rows; further columns are not read.
@@ -23,7 +24,9 @@ from .spans import digest, joined, ordered, overlaps
 KINDS = ("assign", "access", "hex", "random")
 #: A string with fewer characters a token is taken for random.
 MOST_RATIO = 2.0
-LEAST_CHARS = 20
+LEAST_CHARS = 16
+#: A shorter part may be a piece of a key with separators in it, so it is never readable by itself.
+LEAST_READABLE = 4
 
 # The base patterns. A run below its least length has no match, so {n,} stands for + and a check.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,6 +41,9 @@ _HEX_ONLY = re.compile(r"(0x)?[0-9A-Fa-f]+")
 # Hex characters of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 DIGEST_CHARS = frozenset({32, 40, 56, 64, 96, 128})
 _NUMBERS = re.compile(r"[0-9+/_=-]+")
+_TIME = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-][0-9-]+Z?")
+#: A UUID, or what stands between separators.
+_PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -50,9 +56,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_identifier(run: str) -> bool:
-    """Digests, UUIDs and numbers with separators are random by nature but no secrets."""
+    """Digests, UUIDs, times and numbers with separators are random by nature but no secrets."""
     return bool(
         _UUID.fullmatch(run)
+        or _TIME.fullmatch(run)
         or _NUMBERS.fullmatch(run)
         or (m := _HEX_ONLY.fullmatch(run)) and len(run) - 2 * bool(m[1]) in DIGEST_CHARS
     )
@@ -67,15 +74,38 @@ class TokenEfficiency:
     def ratio(self, run: str) -> float:
         return len(run) / len(self._encoding.encode_ordinary(run))
 
+    def _pieces(self, run: str, most_ratio: float) -> list[tuple[int, int]]:
+        """Where the run is to be measured: whole, and between its readable parts and known identifiers."""
+        pieces, start, end, known = [], None, 0, False
+        for m in _PART.finditer(run):
+            part = m[0]
+            identifier = not part.isdigit() and known_identifier(part)
+            known |= identifier
+            if identifier or len(part) >= LEAST_READABLE and not part.isdigit() and self.ratio(part) >= most_ratio:
+                if start is not None:
+                    pieces.append((start, end))
+                start = None
+            else:
+                start, end = m.start() if start is None else start, m.end()
+        if start is not None:
+            pieces.append((start, end))
+        return pieces if known else [(0, len(run)), *pieces]
+
     def random_spans(self, text: str, taken: list[tuple[str, int, int]], most_ratio: float) -> list[tuple[str, int, int]]:
         found = []
         for m in _RUN.finditer(text):
             run = m[0].strip("=-_/+")
-            if len(run) < LEAST_CHARS or run.isalpha() or not any(map(str.isdigit, run)) or known_identifier(run):
+            if len(run) < LEAST_CHARS or known_identifier(run):
                 continue
-            span = ("random", m.start() + m[0].index(run), m.start() + m[0].index(run) + len(run))
-            if not overlaps(span, taken) and self.ratio(run) < most_ratio:
-                found.append(span)
+            at = m.start() + m[0].index(run)
+            for a, b in self._pieces(run, most_ratio):
+                span, piece = ("random", at + a, at + b), run[a:b]
+                if b - a < LEAST_CHARS or known_identifier(piece) or overlaps(span, taken):
+                    continue
+                if self.ratio(piece) < most_ratio:
+                    found.append(span)
+                    if b - a == len(run):
+                        break
         return found
 
 

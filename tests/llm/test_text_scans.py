@@ -195,6 +195,26 @@ def test_op6_random(spark, path):
     assert len(got) == len(ODD) and not any(r.n_assign or r.n_access or r.n_hex or r.n_random for r in got)
 
 
+def test_op6_letters_short_keys_and_parts(path):
+    test = secrets.TokenEfficiency(path, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    draw = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    upper, digits = lower.upper(), "0123456789"
+    for _ in range(50):
+        for key in (draw(32, lower + upper), draw(16, lower + upper + digits), draw(24, lower + upper + digits)):
+            text = f"the {key} is"
+            assert [text[a:b] for _, a, b in test.random_spans(text, [], secrets.MOST_RATIO)] == [key]
+            for before in ("callback/authorization/production/environment/", "customer_production_environment_signature_"):
+                got = [(a, b) for _, a, b in test.random_spans(before + key, [], secrets.MOST_RATIO)]
+                assert any(a <= len(before) and b == len(before + key) for a, b in got)
+    plain = (
+        "internationalisation telecommunications authorization/production/environment customer_production_environment"
+        f" objects/{'0123456789abcdef' * 4} users/123e4567-e89b-12d3-a456-426614174000/profile 20240101T123045Z"
+    )
+    assert test.random_spans(plain, [], secrets.MOST_RATIO) == []
+
+
 def test_op7(spark):
     got = {r.doc_id: r for r in queries.op7_pii(spark, SF).collect()}
     for i, text in texts(spark).items():
