@@ -130,6 +130,24 @@ def test_lm_is_a_distribution(spark):
     assert all(abs(mass[k] - corpus.tail_mass[k]) < 1e-6 for k in range(lm.TAIL))
 
 
+def test_skip_feature_tells_words_apart():
+    """Of two words in one class the word before the last decides, whatever the last one."""
+    rng = np.random.default_rng(3)
+
+    def draw(n):
+        rows = rng.integers(0, lm.ROWS, (lm.KINDS, n)).astype(np.int32)
+        members = rng.integers(0, 2, n)
+        rows[2] = 10 + members
+        return np.zeros(n, np.int64), members, rows
+
+    trainer = lm.Trainer(lm.Weights.zeros().flat)
+    for _ in range(60):
+        trainer.step(*draw(500))
+    classes, members, rows = draw(200)
+    logs, _ = lm.member_log_probs(trainer.w, classes, rows)
+    assert np.exp(logs[np.arange(200), members]).mean() > 0.8
+
+
 def test_reader_keeps_texts_apart():
     corpus = lm.Corpus(3, 2, [b"a", b"b"], np.array([2.0, 1.0]), np.zeros(lm.TAIL))
     reader = lm.Reader(corpus)
