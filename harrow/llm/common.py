@@ -73,6 +73,17 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
     return frame.mapInArrow(run, schema)
 
 
+def fresh(frame: DataFrame, *stems: str) -> list[str]:
+    """For each stem a column name that the frame does not have, whatever its case."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def ddl(frame: DataFrame) -> str:
     """The frame's columns as a schema string."""
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)

@@ -1,27 +1,34 @@
 """Removal of repeated byte strings by prefix-free parsing, distributed.
 
 Parsing. A rolling hash runs over each text. Of every ``SPAN`` neighbouring places the one with the
-least hash is a trigger; triggers cut the text into phrases. Which trigger a string of ``LENGTH`` bytes
-sees first depends on those bytes alone, so equal strings see it at the same offset a, and each string
-is a phrase's suffix of a bytes before a trigger and LENGTH - a bytes of parse after it.
-
-Buckets. Strings can only be equal if the bytes that surely follow their triggers are, so triggers are
-dealt by a hash of these. Triggers alone in their bucket, almost all in ordinary text, need no more
-work. A trigger with all strings that see it first is a context; contexts are the dictionary, and
-equal ones (copies, common passages) are counted, not listed. Strings of a repeated context repeat.
-
-Order. In a bucket the contexts are sorted twice: by what follows the trigger (the suffix array of the
-parse) and by what precedes it, read backwards (the suffix array of the dictionary). Common prefixes of
-neighbours give, for any two contexts, the longest common string around the trigger, and thereby which
-offsets a repeat: corpus order, without listing corpus positions. Buckets of more than ``MOST_CONTEXTS``
-contexts are dealt again by narrower ranges of offsets, whose strings share more bytes; in the end a
-range is one offset, a bucket one string, and a count decides. No bucket goes to one task whole.
-
-* null or empty text, or one under LENGTH bytes: nothing removed;
+least hash is a trigger. A phrase is all that sees one trigger first, up to the trigger and the bytes
+that surely follow it in any string of the shortest length: its trigger string. Which trigger a string
+sees first depends on its own bytes alone, so no suffix of a phrase that reaches into its trigger
+string is a proper prefix of another one (prefix-free), and each string is a suffix of one phrase
+followed by the start of the rest of the parse.
+
+Dictionary. Equal phrases with equal continuations (copies, common passages) become one entry with a
+count: repeats of repeats are counted, not listed. Suffixes of phrases can only be equal if they end in
+the same trigger string, so the dictionary is dealt by it. Phrases alone with their trigger string,
+almost all in ordinary text, need no more work.
+
+Order. In a block (``Block``) the phrases are put in the order of their suffixes, read back from the
+trigger, with common lengths of neighbours: the suffix array of the dictionary. The continuations are
+sequences of phrases; distinct phrases get ranks, and the sequences of ranks are sorted: the suffix
+array of the parse. Both together give the corpus order, and with it for any two entries the longest
+common string around the trigger, and thereby which offsets a repeat. Blocks of more than
+``MOST_CONTEXTS`` entries are dealt again by narrower ranges of offsets, whose strings share more
+bytes; in the end a range is one offset, a block one string, and a count decides. No block of a hot
+phrase goes to one task whole.
+
+Several lengths are found by one parse. ``report`` removes strings of ``LENGTH`` bytes, and also tells how
+many bytes shorter repeats, of ``SHORT`` bytes, would cover: a passage of 50 words can have under LENGTH bytes.
+
+* null or empty text, or one under the shortest length: nothing removed;
 * null doc_id: kept as null, its text counts; rows that repeat: each a copy of the others;
 * a string that repeats within one text, overlapping itself included, is removed throughout;
 * very long text: one at a time in a worker; empty table: no rows; further columns are not read;
-* ``dedup`` keeps all columns, and replaces bytes of a code point that was cut by U+FFFD.
+* ``dedup`` keeps all columns, whatever their names, and replaces bytes of a code point that was cut by U+FFFD.
 """
 
 from __future__ import annotations
@@ -31,16 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, drop_written, map_rows, ship, written
+from .common import ddl, drop_written, fresh, map_rows, ship, written
 
-LENGTH = 400
-#: Bytes of the rolling hash, and places of which one is a trigger; SPAN a power of two, both fit in LENGTH.
-HASHED, SPAN = 16, 256
-#: Contexts of a bucket that one task sorts; larger buckets are dealt again by these ranges of offsets.
+LENGTH, SHORT = 400, 200
+#: Bytes of the rolling hash, and places of which one is a trigger; SPAN a power of two, both fit in the shortest length.
+HASHED, SPAN = 16, 128
+#: Entries of a block that one task sorts; larger blocks are dealt again by these ranges of offsets.
 MOST_CONTEXTS = 256
 WIDTHS = (32, 4, 1)
 #: Rows (some 50 bytes) that may be broadcast; with more the join shuffles.
@@ -85,22 +91,40 @@ def triggers(raw: bytes, length: int = LENGTH, span: int = SPAN) -> Iterator[tup
             yield at + p, p - b, p - a
 
 
-def _contexts(docs: DataFrame, length: int, span: int) -> DataFrame:
-    """bucket, u1, u2 (a digest of the context), tid, k1, k2, p, low, high: a row for each trigger."""
-    sure = length - span + 1
+def _parse(docs: DataFrame, lengths: tuple[int, ...], span: int) -> DataFrame:
+    """A row for each phrase: bucket (digest of its trigger string), u (digest of phrase and continuation), its
+    document's keys, the trigger's place p, the offsets low to high of its starts, and room, the bytes from p on that count."""
+    shortest, longest = min(lengths), max(lengths)
+    sure = shortest - span + 1
 
     def run(rows):
-        tid = TaskContext.get().partitionId() << 40
         for k1, text, k2 in rows:
             raw = text.encode("utf-8", "surrogatepass")
-            for p, low, high in triggers(raw, length, span):
-                u = xxhash.xxh3_128_intdigest(raw[p - high : p - low + length], seed=low << 16 | high)
-                yield xxhash.xxh3_64_intdigest(raw[p : p + sure]) - (1 << 63), (u >> 64) - (1 << 63), (u & (1 << 64) - 1) - (1 << 63), tid, k1, k2, p, low, high
-                tid += 1
+            for p, low, high in triggers(raw, shortest, span):
+                u = xxhash.xxh3_64_intdigest(raw[p - high : p - low + longest], seed=low << 16 | high)
+                room = min(len(raw) - p, longest - low)
+                yield xxhash.xxh3_64_intdigest(raw[p : p + sure]) - (1 << 63), u - (1 << 63), k1, k2, p, low, high, room
+
+    return map_rows(docs, run, "bucket long, u long, k1 long, k2 long, p int, low int, high int, room int", per_batch=10_000)
 
-    return map_rows(
-        docs, run, "bucket long, u1 long, u2 long, tid long, k1 long, k2 long, p int, low int, high int", per_batch=10_000
-    )
+
+def _following(cells: list[tuple[int, int, int]], k: int, end: int, span: int) -> list[int]:
+    """Of the phrases behind cell k: start and end, from its trigger on, of those that lie before ``end`` with their lookahead.
+
+    A cut counts if the bytes between the trigger and ``end`` suffice to find it, so equal continuations have equal
+    cuts; ``cells`` are those of all windows of the text.
+    """
+    p, out = cells[k][0], []
+    start = 0
+    for place, low, high in cells[k + 1 :]:
+        seen = max(place - high, p)
+        if seen + span + HASHED - 1 > end:
+            break
+        if seen > place - low:
+            continue
+        out += [start, seen + span + HASHED - 1 - p]
+        start = place - p
+    return [*out, start]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -117,12 +141,10 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def _common_of_all(parts: list[bytes]) -> np.ndarray:
-    """Common prefix lengths of all pairs, from the suffix array of the parts and its neighbours."""
-    n = len(parts)
-    order = sorted(range(n), key=parts.__getitem__)
-    near = [_common(parts[a], parts[b]) for a, b in zip(order, order[1:], strict=False)]
-    out = np.zeros((n, n), np.int32)
+def _of_all(order: list[int], near: list[int]) -> np.ndarray:
+    """Common lengths of all pairs, from a sorted order and the common lengths of neighbours in it."""
+    n = len(order)
+    out = np.full((n, n), 1 << 30, np.int32)
     for i in range(n - 1):
         reach = np.minimum.accumulate(near[i:])
         out[order[i], order[i + 1 :]] = reach
@@ -130,42 +152,89 @@ def _common_of_all(parts: list[bytes]) -> np.ndarray:
     return out
 
 
-def repeats(group: list[tuple[int, int, int, bytes, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """Of each context (count, low, high, before, after) of a bucket, the offsets, as ranges, that repeat.
+class Block:
+    """Entries (phrase before the trigger, continuation, cuts of the continuation) that share a trigger string.
+
+    ``suffixes`` has for any two entries the longest common suffix of their phrases, ``prefixes`` the longest common
+    prefix of their continuations.
+    """
 
-    Contexts differ from one another; one with a count over 1 repeats as a whole and needs no answer.
+    def __init__(self, entries: list[tuple[bytes, bytes, list[int]]]) -> None:
+        dictionary = sorted({e[0][::-1] for e in entries})
+        place = {x: i for i, x in enumerate(dictionary)}
+        phrase = [place[e[0][::-1]] for e in entries]
+        near = [_common(a, b) for a, b in zip(dictionary, dictionary[1:], strict=False)]
+        common = _of_all(list(range(len(dictionary))), near)
+        common[np.diag_indices(len(dictionary))] = [len(x) for x in dictionary]
+        self.suffixes = common[np.ix_(phrase, phrase)]
+
+        parse = [self._phrases(after, cuts) for _, after, cuts in entries]
+        rank = {x: i for i, x in enumerate(sorted({x for p in parse for x in p}))}
+        ranks = [tuple(rank[x] for x in p) for p in parse]
+        order = sorted(range(len(entries)), key=ranks.__getitem__)
+        near = [self._common_parse(entries[a], ranks[a], entries[b], ranks[b]) for a, b in zip(order, order[1:], strict=False)]
+        self.prefixes = _of_all(order, near)
+
+    @staticmethod
+    def _phrases(after: bytes, cuts: list[int]) -> list[bytes]:
+        """The phrases of a continuation, each with the lookahead that fixes its end; the last is what is left."""
+        return [*(after[a:b] for a, b in zip(cuts[:-1:2], cuts[1::2], strict=True)), after[cuts[-1] :]]
+
+    @staticmethod
+    def _common_parse(one: tuple, ranks_one: tuple, two: tuple, ranks_two: tuple) -> int:
+        """Whole phrases by rank, then bytes of the first phrase that differs."""
+        same = 0
+        for x, y in zip(ranks_one, ranks_two, strict=False):
+            if x != y:
+                break
+            same += 1
+        if same == len(ranks_one) or same == len(ranks_two):
+            return min(len(one[1]), len(two[1]))
+        at = one[2][2 * same]
+        return at + _common(one[1][at:], two[1][at:])
+
+
+def repeats(group: list[tuple[int, int, int, bytes, bytes, list[int]]], lengths: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
+    """Of each entry (count, low, high, before, after, cuts) of a block: (length, offsets, as a range) that repeat.
+
+    Entries differ from one another; one with a count over 1 repeats as a whole and needs no answer.
     """
-    after = _common_of_all([g[4] for g in group])
-    before = _common_of_all([g[3][::-1] for g in group])
-    low = np.maximum(length - after, np.array([g[1] for g in group])[:, None])
-    high = np.minimum(before, np.array([g[2] for g in group])[:, None])
-    shared = low <= high
-    np.fill_diagonal(shared, False)
-    out = []
-    for i, (count, *_) in enumerate(group):
-        found: list[tuple[int, int]] = []
-        if count == 1:
+    block = Block([g[3:] for g in group])
+    lows, highs = (np.array([g[k] for g in group])[:, None] for k in (1, 2))
+    high = np.minimum(block.suffixes, highs)
+    answers: list[list[tuple[int, int, int]]] = [[] for _ in group]
+    for length in lengths:
+        low = np.maximum(length - block.prefixes, lows)
+        shared = low <= high
+        np.fill_diagonal(shared, False)
+        for i in np.flatnonzero(shared.any(axis=1)).tolist():
+            if group[i][0] > 1:
+                continue
+            found: list[tuple[int, int]] = []
             at = np.flatnonzero(shared[i])
             for a, b in sorted(zip(low[i, at].tolist(), high[i, at].tolist(), strict=True)):
                 if found and a <= found[-1][1] + 1:
                     found[-1] = (found[-1][0], max(b, found[-1][1]))
                 else:
                     found.append((a, b))
-        out.append(found)
-    return out
+            answers[i] += [(length, a, b) for a, b in found]
+    return answers
+
 
+_FOUND = "k1 long, k2 long, length int, first int, last int"
 
-def _sorted_out(rows: DataFrame, length: int) -> DataFrame:
-    """k1, k2, p, low, high: what repeats of the unique contexts of whole buckets."""
+
+def _sorted_out(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """k1, k2, length, first, last: the starts that repeat, of the unique entries of whole blocks."""
 
     def run(rows):
         held: list[tuple] = []
 
         def flush():
-            answers = repeats([(r[1], r[2], r[3], r[7], r[8]) for r in held], length)
+            answers = repeats([(r[1], r[2], r[3], *r[7:]) for r in held], lengths)
             for r, found in zip(held, answers, strict=True):
-                for a, b in found:
-                    yield r[4], r[5], r[6], a, b
+                for length, a, b in found:
+                    yield r[4], r[5], length, r[6] - b, r[6] - a
 
         for row in rows:
             if held and row[0] != held[0][0]:
@@ -175,27 +244,29 @@ def _sorted_out(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield from flush()
 
-    keyed = rows.select("bucket", "t", "low", "high", "k1", "k2", "p", "before", "after")
+    keyed = rows.select("bucket", "t", "low", "high", "k1", "k2", "p", "before", "after", "cuts")
     keyed = keyed.repartition("bucket").sortWithinPartitions("bucket", "k1", "k2", "p")
-    return map_rows(keyed, run, "k1 long, k2 long, p int, low int, high int")
+    return map_rows(keyed, run, _FOUND, per_batch=10_000)
 
 
 def _narrower(rows: DataFrame, width: int, length: int) -> DataFrame:
-    """The contexts cut into ranges of ``width`` offsets, in buckets by the bytes that such ranges share."""
+    """The entries cut into ranges of ``width`` offsets, in blocks by the bytes that such ranges share."""
 
     def run(rows):
-        for t, low, high, k1, k2, p, before, after in rows:
+        for t, low, high, k1, k2, p, before, after, cuts in rows:
+            low = max(low, length - len(after))
             for s in range(low // width, high // width + 1):
                 a, b = max(low, s * width), min(high, s * width + width - 1)
                 left, right = before[len(before) - b :], after[: length - a]
                 sure = left[len(left) - s * width :] + b"|" + right[: length - s * width - width + 1]
                 bucket = xxhash.xxh3_64_intdigest(sure, seed=s) - (1 << 63)
-                u = xxhash.xxh3_128_intdigest(left + b"|" + right, seed=a << 16 | b)
-                yield bucket, (u >> 64) - (1 << 63), (u & (1 << 64) - 1) - (1 << 63), t, a, b, k1, k2, p, left, right
+                u = xxhash.xxh3_64_intdigest(left + b"|" + right, seed=a << 16 | b) - (1 << 63)
+                n = sum(e <= len(right) for e in cuts[1::2])
+                yield bucket, u, t, a, b, k1, k2, p, left, right, cuts[: 2 * n + 1]
 
     return map_rows(
-        rows.select("t", "low", "high", "k1", "k2", "p", "before", "after"), run,
-        "bucket long, u1 long, u2 long, t long, low int, high int, k1 long, k2 long, p int, before binary, after binary",
+        rows.select("t", "low", "high", "k1", "k2", "p", "before", "after", "cuts"), run,
+        "bucket long, u long, t long, low int, high int, k1 long, k2 long, p int, before binary, after binary, cuts array<int>",
         per_batch=500,
     )
 
@@ -213,62 +284,87 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str | Column) -> Data
     )
 
 
-def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """k1, k2, ranges: per document the places (first, last, in bytes) at which repeated strings start."""
-    if span & (span - 1) or span + HASHED > length:
-        raise ValueError("the span must be a power of two and fit in the length with the hashed bytes")
+def _starts(rows: DataFrame, lengths: tuple[int, ...], room: Column) -> DataFrame:
+    """k1, k2, length, first, last: all starts of the entries, of each length that the text has room for."""
+    length = F.explode(F.array(*map(F.lit, lengths))).alias("length")
+    wide = rows.select("k1", "k2", "p", "low", "high", room.alias("room"), length)
+    least = F.greatest("low", F.col("length") - F.col("room"))
+    wide = wide.filter(least <= F.col("high"))
+    return wide.select("k1", "k2", F.col("length").cast("int"), (F.col("p") - F.col("high")).alias("first"), (F.col("p") - least).alias("last"))
+
+
+def repeated_ranges(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), span: int = SPAN,
+) -> DataFrame:
+    """k1, k2, ranges: per document the places (length, first, last, in bytes) at which repeated strings start."""
+    shortest, longest = min(lengths), max(lengths)
+    if span & (span - 1) or span + HASHED > shortest:
+        raise ValueError("the span must be a power of two and fit in the lengths with the hashed bytes")
     ship(docs.sparkSession)
     keyed = _keyed(docs, doc_id, text)
     # Texts that are too short for a string need no look.
-    every = written(_contexts(keyed.filter(F.octet_length("text") >= length), length, span))
-    shared = written(every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
-    rows = written(every.join(shared, "bucket"))
-    same = ["bucket", "u1", "u2"]
-    counted = written(rows.groupBy(*same).agg(F.count("*").alias("t"), F.min("tid").alias("tid")))
-    ranges = [written(rows.join(counted.filter("t > 1").select(*same), same).select("k1", "k2", "p", "low", "high"))]
-    open_ = counted.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("t") == 1).cast("int")).alias("ones"))
+    parse = written(_parse(keyed.filter(F.octet_length("text") >= shortest), lengths, span))
+    shared = written(parse.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
+    rows = written(parse.join(shared, "bucket"))
+    drop_written(parse, shared)
+    same = ["bucket", "u"]
+    # The dictionary: entries with counts, each with one of its places.
+    place = F.min(F.struct("k1", "k2", "p"))
+    entries = written(rows.groupBy(*same).agg(
+        F.count("*").alias("t"), place.alias("at"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("room").alias("room")
+    ))
+    copies = rows.join(entries.filter("t > 1").select(*same), same)
+    ranges = [written(_starts(copies, lengths, F.col("room")))]
+    open_ = entries.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("t") == 1).cast("int")).alias("ones"))
     open_ = written(open_.filter("d > 1 and ones > 0").select("bucket", "d"))
-    named = counted.join(open_, "bucket").select("tid", "t", "d")
-    wanted = written(rows.join(named, "tid").select("bucket", "t", "d", "k1", "k2", "p", "low", "high"))
-    drop_written(every, shared, rows, counted, open_)
+    wanted = written(entries.join(open_, "bucket").select("bucket", "t", "d", "at.*", "low", "high", "room"))
+    drop_written(rows, entries, open_)
 
     def cut(rows):
         for k1, text, k2, places in rows:
             raw = text.encode("utf-8", "surrogatepass")
+            cells = list(triggers(raw, span + HASHED - 1, span))
+            number = {c[0]: k for k, c in enumerate(cells)}
             for x in places:
                 p, low, high = x["p"], x["low"], x["high"]
-                yield x["bucket"], x["t"], x["d"], low, high, k1, k2, p, raw[p - high : p], raw[p : p + length - low]
+                end = p + x["room"]
+                yield x["bucket"], x["t"], x["d"], low, high, k1, k2, p, raw[p - high : p], raw[p:end], _following(cells, number[p], end, span)
 
     # A list for each document: no longer than the document.
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "t", "d", "p", "low", "high")).alias("places"))
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "t", "d", "p", "low", "high", "room")).alias("places"))
     texts = keyed.join(_bounded(wanted.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    content = map_rows(
+    content = written(map_rows(
         texts.join(lists, ["k1", "k2"]).select("k1", "text", "k2", "places"), cut,
-        "bucket long, t long, d long, low int, high int, k1 long, k2 long, p int, before binary, after binary", per_batch=500,
-    )
-    content = written(content)
-    ranges.append(written(_sorted_out(content.filter(F.col("d") <= MOST_CONTEXTS), length)))
+        "bucket long, t long, d long, low int, high int, k1 long, k2 long, p int, before binary, after binary, cuts array<int>",
+        per_batch=500,
+    ))
     drop_written(wanted)
-    hot = content.filter(F.col("d") > MOST_CONTEXTS)
-    for width in WIDTHS:
-        if hot.isEmpty():
-            break
-        cuts = written(_narrower(hot, width, length))
-        totals = written(cuts.groupBy(*same).agg(F.sum("t").alias("total")))
-        cuts_now = cuts.join(totals, same)
-        ranges.append(written(cuts_now.filter("total > 1 and t = 1").select("k1", "k2", "p", "low", "high")))
-        left = cuts_now.withColumn("t", F.col("total")).drop("total").dropDuplicates(same)
-        sizes = totals.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("total") == 1).cast("int")).alias("ones"))
-        sizes = written(sizes.filter("d > 1 and ones > 0").select("bucket", "d"))
-        left = written(left.join(sizes, "bucket"))
-        ranges.append(written(_sorted_out(left.filter(F.col("d") <= MOST_CONTEXTS), length)))
-        drop_written(cuts, totals, sizes)
-        hot = left.filter(F.col("d") > MOST_CONTEXTS)
+    ranges.append(written(_sorted_out(content.filter(F.col("d") <= MOST_CONTEXTS), lengths)))
+    hot_blocks = content.filter(F.col("d") > MOST_CONTEXTS)
+    for length in () if hot_blocks.isEmpty() else lengths:
+        hot = hot_blocks
+        for width in WIDTHS:
+            if hot.isEmpty():
+                break
+            cuts = written(_narrower(hot, width, length))
+            totals = written(cuts.groupBy(*same).agg(F.sum("t").alias("total"), F.min(F.struct("k1", "k2", "p", "low")).alias("at")))
+            alone = cuts.filter("t = 1").join(totals.filter("total > 1").select(*same), same)
+            ranges.append(written(_starts(alone, (length,), F.lit(length))))
+            sizes = totals.groupBy("bucket").agg(F.count("*").alias("d"), F.sum((F.col("total") == 1).cast("int")).alias("ones"))
+            sizes = written(sizes.filter("d > 1 and ones > 0").select("bucket", "d"))
+            # One of the places of each entry of an open block; places are spread evenly, blocks are not.
+            named = written(totals.join(sizes, "bucket").select("bucket", "u", "total", "d", "at.*"))
+            key = ["bucket", "u", "k1", "k2", "p", "low"]
+            left = cuts.drop("t").join(named.withColumnRenamed("total", "t"), key).dropDuplicates(key)
+            hot = written(left)
+            ranges.append(written(_sorted_out(hot.filter(F.col("d") <= MOST_CONTEXTS), (length,))))
+            hot = hot.filter(F.col("d") > MOST_CONTEXTS)
+            drop_written(cuts, totals, sizes, named)
+    drop_written(content)
     found = ranges[0]
     for r in ranges[1:]:
         found = found.unionByName(r)
-    first, last = F.col("p") - F.col("high"), F.col("p") - F.col("low")
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct(first.alias("first"), last.alias("last"))).alias("ranges"))
+    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("length", "first", "last")).alias("ranges"))
 
 
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -290,37 +386,42 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    ranges = repeated_ranges(docs, doc_id, text, length, span)
+def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    return covered([(x["first"], x["last"]) for x in found or () if x["length"] == length], length)
+
+
+def report(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, short: int = SHORT, span: int = SPAN,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_short (bytes that repeated strings of ``short`` bytes cover)."""
+    ranges = repeated_ranges(docs, doc_id, text, (length, short), span)
     rows = _keyed(docs, doc_id, text, F.col(doc_id).cast("long").alias("id")).join(ranges, ["k1", "k2"], "left")
 
     def run(rows):
         for i, t, found in rows:
             raw = t.encode("utf-8", "surrogatepass")
-            runs = covered([(x["first"], x["last"]) for x in found or ()], length)
+            runs = _runs(found, length)
             kept = kept_bytes(raw, runs)
-            yield i, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+            covers = sum(b - a for a, b in _runs(found, short))
+            yield i, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), covers
 
-    return map_rows(rows.select("id", "text", "ranges"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_short long"
+    return map_rows(rows.select("id", "text", "ranges"), run, schema)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """The documents without their repeated strings; null texts stay null, and all columns are kept."""
-    ranges = repeated_ranges(docs, doc_id, text, length, span).select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("ranges").alias("__ranges")
-    )
+    k1, k2, found = fresh(docs, "k1", "k2", "ranges")
+    ranges = repeated_ranges(docs, doc_id, text, (length,), span).toDF(k1, k2, found)
     whole = F.coalesce(F.col(text), F.lit(""))
-    k1 = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.join(ranges, (k1 == F.col("__k1")) & (F.xxhash64(whole) == F.col("__k2")), "left")
-
-    at, names = docs.columns.index(text), docs.columns
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.join(ranges, (own == F.col(k1)) & (F.xxhash64(whole) == F.col(k2)), "left").drop(k1, k2)
+    at = docs.columns.index(text)
 
     def cut(rows):
-        for *row, found in rows:
-            if row[at] is not None and found is not None:
-                runs = covered([(x["first"], x["last"]) for x in found], length)
-                row[at] = kept_bytes(row[at].encode("utf-8", "surrogatepass"), runs).decode("utf-8", "replace")
+        for *row, places in rows:
+            if row[at] is not None and places is not None:
+                row[at] = kept_bytes(row[at].encode("utf-8", "surrogatepass"), _runs(places, length)).decode("utf-8", "replace")
             yield tuple(row)
 
-    return map_rows(rows.select(*(docs[c] for c in names), "__ranges"), cut, ddl(docs))
+    return map_rows(rows, cut, ddl(docs))

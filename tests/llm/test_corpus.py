@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from harrow.llm import lm, near_dedup, queries, substring_dedup
 
@@ -40,7 +41,10 @@ def removed(frame):
 
 def test_op1(spark):
     want = brute_kept(texts(spark), substring_dedup.LENGTH)
-    assert removed(queries.op1_substring_dedup(spark, SF)) == want and any(r[2] for r in want)
+    got = queries.op1_substring_dedup(spark, SF)
+    assert removed(got) == want and any(r[2] for r in want)
+    covers = sorted(((r.doc_id, r.n_short) for r in got.collect()), key=repr)
+    assert covers == [(r[0], r[2]) for r in brute_kept(texts(spark), substring_dedup.SHORT)]
 
 
 def pieces(rng, alphabet):
@@ -63,14 +67,42 @@ def test_op1_random(spark, monkeypatch, most):
     rows = [*((k, t) for k, t in enumerate(pieces(rng, "ab "))), *((100 + k, t) for k, t in enumerate(pieces(rng, "abcdefgh"))), *ODD]
     rows += [(7, "q" * 39), (None, rows[0][1]), (8, rows[50][1]), (8, rows[50][1])]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, k1 string")
-    assert removed(substring_dedup.report(docs, length=40, span=16)) == brute_kept(rows, 40)
+    got = substring_dedup.report(docs, length=60, short=40, span=16)
+    assert removed(got) == brute_kept(rows, 60)
+    assert Counter((r.doc_id, r.n_bytes, r.n_short) for r in got.collect()) == Counter(r[:3] for r in brute_kept(rows, 40))
+
+
+def test_op1_block():
+    """The orders of dictionary and parse give the common strings of all pairs of entries."""
+    rng = random.Random(5)
+    raws = [p.encode() for p in pieces(rng, "ab ") if len(p) >= 60]
+    span, room = 16, 50
+    entries = []
+    for raw in raws:
+        cells = list(substring_dedup.triggers(raw, span + substring_dedup.HASHED - 1, span))
+        for k, (p, _, high) in enumerate(cells):
+            end = min(len(raw), p + room)
+            entries.append((raw[p - high : p], raw[p:end], substring_dedup._following(cells, k, end, span)))
+    entries = entries[:150]
+    assert any(len(e[2]) > 1 for e in entries)
+    block = substring_dedup.Block(entries)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for i, a in enumerate(entries):
+        for j, b in enumerate(entries):
+            if i != j:
+                assert block.suffixes[i, j] == common(a[0][::-1], b[0][::-1])
+                assert block.prefixes[i, j] == common(a[1], b[1])
 
 
 def test_op1_dedup(spark):
     line = "".join(map(chr, range(0x4E00, 0x4E00 + 40)))
     docs = spark.createDataFrame([(1, f"x{line}y", "c"), (2, f"{line}", "d"), (3, None, "e"), (4, "short", "f")], "doc_id long, text string, ranges string")
-    got = {r.doc_id: r for r in substring_dedup.dedup(docs, length=40, span=16).collect()}
-    assert got[1].text == "xy" and got[2].text == "" and got[3].text is None and got[4].text == "short" and got[1].ranges == "c"
+    docs = docs.select("*", *(F.concat("ranges", F.lit(k)).alias(k) for k in ("k1", "K2", "__k1", "__ranges", "ranges_")))
+    found = substring_dedup.dedup(docs, length=40, span=16)
+    got = {r.doc_id: r for r in found.collect()}
+    assert found.columns == docs.columns
+    assert got[1].text == "xy" and got[2].text == "" and got[3].text is None and got[4].text == "short"
+    assert tuple(got[1])[2:] == ("c", "ck1", "cK2", "c__k1", "c__ranges", "cranges_")
     assert substring_dedup.report(docs.limit(0)).count() == 0
 
 
