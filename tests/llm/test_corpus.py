@@ -138,50 +138,159 @@ def test_op4_rare_words_by_join(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def small_model(spark, n=60):
+    docs = spark.createDataFrame(texts(spark)[:n], "doc_id long, text string")
+    corpus = lm.corpus_of(lm.count_words(docs))
+    return docs, corpus, lm.train(docs, corpus)
+
+
 def test_lm_is_a_distribution(spark):
     """The probabilities of all words and of an unknown one add up to one after any history."""
-    docs = spark.createDataFrame(texts(spark)[:40], "doc_id long, text string")
-    corpus = lm.corpus_of(lm.count_words(docs))
-    w = lm.train(docs, corpus)
-    reader = lm.Reader(corpus)
-    *_, rows = reader.read([texts(spark)[3][1]])
+    docs, corpus, model = small_model(spark)
+    scorer, head = lm.Scorer(model), corpus.shape.head
+    *_, rows = lm.Reader(corpus).read([texts(spark)[3][1]])
     rows = rows[:, :5]
-    classes = np.exp(lm.log_probs(w, np.zeros(5, int), rows))
-    assert np.allclose(classes.sum(axis=1), 1, atol=1e-4)
-    total = classes[:, lm.HEAD :].sum(axis=1)  # tail classes share all of their mass out
-    for c in range(lm.HEAD):
-        logs, _ = lm.member_log_probs(w, np.full(5, c), rows)
-        assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
-        total += classes[:, c]
+    outer = np.exp(scorer.logs(0, np.zeros(5, int), rows))
+    assert np.allclose(outer.sum(axis=1), 1, atol=1e-4)
+    total = outer[:, head:].sum(axis=1)  # tail classes share all of their mass out
+    for c in range(head):
+        (_, _, _), (group, inner, _) = corpus.shape.places(np.full(5, c), np.zeros(5, int), rows)
+        assert np.allclose(np.exp(scorer.logs(1, group, inner)).sum(axis=1), 1, atol=1e-4)
+        total += outer[:, c]
     assert np.allclose(total, 1, atol=1e-4)
-    counts = Counter(x for i, t in texts(spark)[:40] if zlib.crc32(str(i).encode()) % 5 != 1 for x in (t.encode().lower().split() + [b""]))
+    counts = Counter(x for i, t in texts(spark)[:60] if zlib.crc32(str(i).encode()) % 5 != 1 for x in (t.encode().lower().split() + [b""]))
     mass = defaultdict(float)
     for word, c in counts.items():
         if word not in corpus.common[: corpus.n_head]:
-            mass[lm.tail_class_of(word) - lm.HEAD] += c + 0.5
+            mass[lm.tail_class_of(word)] += c + 0.5
     assert all(abs(mass[k] - corpus.tail_mass[k]) < 1e-6 for k in range(lm.TAIL))
 
 
+def test_lm_counts_and_score_by_brute_force(spark):
+    """Counts of rows over all training documents, and the score of a text, one token and one outcome at a time."""
+    docs, corpus, model = small_model(spark)
+    reader, shape = lm.Reader(corpus), corpus.shape
+    want = [defaultdict(int), defaultdict(int)]
+    for i, t in texts(spark)[:60]:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            _, _, _, classes, members, rows = reader.read([t])
+            for n, (c, m) in enumerate(zip(classes.tolist(), members.tolist(), strict=True)):
+                for k in range(lm.KINDS):
+                    want[0][k, int(rows[k, n]), c] += 1
+                    if m >= 0:
+                        want[1][k, c * shape.inner + int(rows[k, n]) % shape.inner, m] += 1
+    for factor, counts in zip((model.outer, model.inner), want, strict=True):
+        seen = np.zeros(factor.seen.shape)
+        for (k, r, _), n in counts.items():
+            seen[k, r] += n
+        assert np.array_equal(seen, factor.seen)
+        for (k, r, o), n in list(counts.items())[:2000]:
+            share = math.exp(factor.bias[r // factor.rows, o])
+            step = math.log((n + lm.SMOOTH * share) / ((seen[k, r] + lm.SMOOTH) * share))
+            assert abs(step - factor.weights[k, r, o]) < 0.01
+
+    def log_softmax(factor, group, rows, outcome):
+        scores = factor.bias[group].astype(float)
+        for k, r in enumerate(rows):
+            scores = scores + factor.steps[k][min(lm.SEEN - 1, int(factor.seen[k, r]).bit_length())] * factor.weights[k, r].astype(float)
+        return scores[outcome] - math.log(np.exp(scores).sum())
+
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    for i, t in texts(spark)[:6]:
+        words, _, place, classes, members, rows = reader.read([t])
+        total = 0.0
+        for n, (c, m) in enumerate(zip(classes.tolist(), members.tolist(), strict=True)):
+            total += log_softmax(model.outer, 0, rows[:, n], c)
+            if m >= 0:
+                total += log_softmax(model.inner, c, rows[:, n] % shape.inner + c * shape.inner, m)
+            else:
+                count = corpus.counts[place[n]] if place[n] >= 0 else 0
+                total += math.log((count + 0.5) / (corpus.tail_mass[c - shape.head] + 0.5))
+        assert abs(total / math.log(10) - got[i].score) < 0.02 + 1e-3 * len(words)
+
+
+def test_lm_slope_is_that_of_the_likelihood(spark):
+    _, corpus, model = small_model(spark)
+    _, _, _, classes, members, rows = lm.Reader(corpus).read([t for _, t in texts(spark)[:4]])
+    factor = lm.Factor(model.outer.bias, model.outer.rows)
+    factor.weights, factor.seen = model.outer.weights, model.outer.seen
+    group = np.zeros(len(classes), np.int64)
+
+    def likelihood(steps):
+        """Each token taken out of the counts of its rows, by their definition."""
+        total = 0.0
+        for n, c in enumerate(classes.tolist()):
+            scores = factor.bias[0].astype(float)
+            for k in range(lm.KINDS):
+                w, seen = factor.weights[k, rows[k, n]].astype(float), float(factor.seen[k, rows[k, n]])
+                prior = lm.SMOOTH * math.exp(factor.bias[0, c])
+                held = round(math.exp(w[c]) * prior / lm.SMOOTH * (seen + lm.SMOOTH) - prior)
+                w[c] += math.log((max(held - 1, 0) + prior) / (max(held, 1) + prior))
+                scores = scores + steps[k, min(lm.SEEN - 1, int(max(seen - 1, 0)).bit_length())] * w
+            total += scores[c] - math.log(np.exp(scores).sum())
+        return total
+
+    slope, curve = factor.curvature(group, rows, classes)
+    size = lm.KINDS * lm.SEEN
+    for at in ((0, 3), (1, 1), (2, 4)):
+        up, down = factor.steps.copy(), factor.steps.copy()
+        up[at] += 1e-3
+        down[at] -= 1e-3
+        values = [likelihood(x) for x in (up, factor.steps, down)]
+        i = at[0] * lm.SEEN + at[1]
+        assert abs((values[0] - values[2]) / 2e-3 - slope[i]) < 0.05 + 0.01 * abs(slope[i])
+        assert abs((2 * values[1] - values[0] - values[2]) / 1e-6 - curve[i * size + i]) < 1 + 0.05 * abs(curve[i * size + i])
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    docs = queries.documents(spark, "/root/testdata/sf0.01")
+    one, four, many = ({r.doc_id: r for r in lm.score(docs.repartition(n)).collect()} for n in (1, 4, 64))
+    for other in (four, many):
+        assert all(abs(one[i].score - other[i].score) < 1e-6 * one[i].n_tokens for i in one)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0.1 * sum(r.n_tokens for r in held)
+    monkeypatch.setattr(lm, "TOKENS_A_SUM", 10_000)  # partial sums before the sums of blocks
+    again = {r.doc_id: r for r in lm.score(docs.repartition(64)).collect()}
+    assert all(abs(one[i].score - again[i].score) < 1e-6 * one[i].n_tokens for i in one)
+
+
+def test_lm_grows_with_the_corpus():
+    small, large, huge = lm.shape_of(20_000, 5_000), lm.shape_of(4_000_000, 200_000), lm.shape_of(10**12, 10**9)
+    assert small.rows < large.rows < huge.rows == lm.MOST_ROWS
+    assert small.head * small.members < large.head * large.members <= huge.head * huge.members == lm.MOST_HEAD
+
+
 def test_skip_feature_tells_words_apart():
     """Of two words in one class the word before the last decides, whatever the last one."""
     rng = np.random.default_rng(3)
 
     def draw(n):
-        rows = rng.integers(0, lm.ROWS, (lm.KINDS, n)).astype(np.int32)
+        rows = rng.integers(0, 1024, (lm.KINDS, n)).astype(np.int32)
         members = rng.integers(0, 2, n)
         rows[2] = 10 + members
         return np.zeros(n, np.int64), members, rows
 
-    trainer = lm.Trainer(lm.Weights.zeros().flat)
-    for _ in range(60):
-        trainer.step(*draw(500))
-    classes, members, rows = draw(200)
-    logs, _ = lm.member_log_probs(trainer.w, classes, rows)
+    shape = lm.Shape(1024, 1, 2)
+    counts, batches = lm.Counts(shape), [draw(500) for _ in range(10)]
+    for b in batches:
+        counts.add(*b)
+    factor = lm.Factor(np.log(np.full((1, 2), 0.5)), 1024)
+    for k in range(lm.KINDS):
+        factor.weights[k], factor.seen[k] = lm.scaling_step(np.full((1024, 2), 0.5), counts.tables[1][k].astype(float))
+    size = lm.KINDS * lm.SEEN
+    sums = [np.zeros(size), np.zeros(size * size)]
+    for b in batches:
+        for x, more in zip(sums, factor.curvature(*shape.places(*b)[1]), strict=True):
+            x += more
+    factor.move(*sums)
+    _, members, rows = draw(200)
+    scores = sum(w[r] for w, r in zip(factor.scaled(), rows, strict=True)) + factor.bias[0]
+    logs = lm._log_softmax(scores.astype(np.float32))
     assert np.exp(logs[np.arange(200), members]).mean() > 0.8
 
 
 def test_reader_keeps_texts_apart():
-    corpus = lm.Corpus(3, 2, [b"a", b"b"], np.array([2.0, 1.0]), np.zeros(lm.TAIL))
+    corpus = lm.Corpus(3, 2, [b"a", b"b"], np.array([2.0, 1.0]), np.zeros(lm.TAIL), lm.shape_of(3, 2))
     reader = lm.Reader(corpus)
     together = reader.read(["a b c a", "", "b", "x y z"])
     apart = [reader.read([t]) for t in ("a b c a", "", "b", "x y z")]
