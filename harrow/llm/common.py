@@ -84,9 +84,20 @@ def fresh(frame: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column name as it is referred to, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bounded(frame: DataFrame, row_bytes: int, most_bytes: int) -> DataFrame:
+    """The frame, marked for broadcast if a count shows that its rows, of ``row_bytes`` each, fit in ``most_bytes``."""
+    most = most_bytes // row_bytes
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+
+
 def ddl(frame: DataFrame) -> str:
     """The frame's columns as a schema string."""
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in frame.schema.fields)
 
 
 #: Bytes of an input batch; Spark's own bound is eight times that, in the JVM and again in each worker.

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, id_text, map_rows, ship, space_words, written
+from .common import drop_written, fresh, id_text, map_rows, ship, space_words, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -365,11 +365,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     grouped = _annotated(docs, doc_id, text).filter("root is not null")
     chosen = grouped.filter("kept").groupBy("root").agg(F.min("text_hash").alias("stay"))
     judged = grouped.join(chosen, "root").withColumn("stays", F.expr("kept and text_hash = stay"))
-    name = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    own_id, own_hash = fresh(docs, "id", "hash")
+    name = [F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)]
     gone = written(judged.filter("not stays").select(*name).distinct())
     again = written(judged.filter("stays").groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__hash")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(own_id)) & (
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(own_hash)
     )
     kept = docs.join(_bounded(gone), same, "left_anti")
     if again.isEmpty():

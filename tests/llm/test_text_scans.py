@@ -266,13 +266,28 @@ def test_op5_odd(spark):
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 8]
     assert exact_dedup.annotate(frame.limit(0)).count() == exact_dedup.dedup(frame.limit(0)).count() == 0
+    clashing = ["size", "PREFIX", "shared", "sha", "keep", "n", "sha_", "a.b", "group_size"]
+    wide = frame.select("*", *(F.concat_ws("-", "doc_id", F.lit(c)).alias(c) for c in clashing))
+    stays = exact_dedup.dedup(wide)
+    assert stays.columns == wide.columns
+    assert sorted(map(tuple, stays.collect())) == sorted((*tuple(r), *(f"{r.doc_id}-{c}" for c in clashing)) for r in kept.collect())
     nulls = spark.createDataFrame([(None, "q"), (None, "q")], "doc_id long, text string")
     assert exact_dedup.dedup(nulls).count() == 1 and exact_dedup.annotate(nulls).filter("kept").count() == 2
 
 
 def test_op5_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST_KEYS", 0)
-    assert_same(queries.op5_exact_dedup(spark, "/root/testdata/sf0.001"), queries.OP5_SQL, connect("/root/testdata/sf0.001"))
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", 0)
+    sf = "/root/testdata/sf0.001"
+    assert_same(queries.op5_exact_dedup(spark, sf), queries.OP5_SQL, connect(sf))
+    want = [i for (i,) in connect(sf).sql(f"select doc_id from ({queries.OP5_SQL}) where kept").fetchall()]
+    assert sorted(r.doc_id for r in exact_dedup.dedup(queries.documents(spark, sf)).collect()) == sorted(want)
+
+
+def test_op5_hashes_survivors_only(spark):
+    docs = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "ab"), (4, "abc")], "doc_id long, text string")
+    assert [tuple(r) for r in exact_dedup.survivors(docs).select("size").collect()] == [(2,)]
+    plan = exact_dedup.dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN shared" in plan.replace("#", " ") and plan.count("sha2") == 1
 
 
 def brute_hits(docs, items, window=10):
