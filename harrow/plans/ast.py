@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 
@@ -49,6 +50,11 @@ class Predicate:
     def __str__(self) -> str:
         return " and ".join(map(str, self.terms))
 
+    def applies_to(self, fields: Iterable[str]) -> bool:
+        """Can the predicate be evaluated on rows with these fields?"""
+        known = {f.lower() for f in fields}
+        return all(f in known for t in self.terms for f in t.fields())
+
     def conjoin(self, other: Predicate) -> Predicate:
         return Predicate(self.terms + other.terms)
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..database import Database
+from ..errors import Conflict
+from ..functions import aggregates
 from ..functions.aggregates import count, maximum
 from ..operators import relational as R
-from ..sources.files import parquet_table
-from .ast import FieldRef, Literal, Predicate, Term
+from ..sources.files import parquet_table, shared_folder
+from . import estimates
+from .ast import FieldRef, Literal, Predicate, Term, Update
+from .compiler import compile_query
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -59,25 +66,45 @@ ORACLES = SELECTS | {
     "insert_snapshot": "select r_regionkey, r_name from region union all"
     " select cast(5 as int) as r_regionkey, 'ATLANTIS' as r_name",
     "rollback_snapshot": "select r_regionkey, r_name from region",
+    "one_buffer_sort": "select s_nationkey, s_suppkey from supplier order by s_nationkey, s_suppkey",
+    "sort_runs": "select l_orderkey, l_linenumber, true as in_order from lineitem",
+    "groupby_registered": "select c_mktsegment, sum(c_custkey) as sumofc_custkey, min(c_name) as minofc_name from customer group by c_mktsegment",
+    "indexes_of": "select * from (values ('p_day', 'purchase_day'), ('p_shop', 'purchase_shop')) t(fieldname, indexname)",
+    "insert_together": "select r_regionkey, r_name from region union all"
+    " select cast(5 as int) as r_regionkey, 'ATLANTIS' as r_name union all select cast(6 as int), 'LEMURIA'",
+    "compacted": "select r_regionkey, r_name from region union all select cast(i as int) as r_regionkey, 'NEW' as r_name from range(5, 8) t(i)",
+    "conflict": "select r_regionkey, r_name, true as conflict from region where r_regionkey <> 1",
+    "phantom": "select r_regionkey, r_name, true as conflict from region union all select cast(5 as int), 'ATLANTIS', true",
+    "recover": "select r_regionkey, r_name, true as dropped from region",
+    "planner": "select n_name from nation where n_regionkey = 2 and n_nationkey > 10",
+    "command": "select r_regionkey, upper('r' || r_regionkey) as r_name from region",
+    "equates": "select 'BUILDING' as constant, 'n_nationkey' as field, true as applies, false as applies_to_nation",
+    "reduction_factor": "select (select 1 + count(*) // 3 from customer) as by_constant,"
+    " (select greatest((select 1 + count(*) // 3 from customer), (select 1 + count(*) // 3 from nation))) as by_field",
+    "estimate": "with c as (select count(*) as n from customer), x as (select count(*) as n from nation)"
+    " select cast(c.n * x.n // (greatest(1 + c.n // 3, 1 + x.n // 3) * (1 + c.n // 3)) as bigint) as num_records,"
+    " cast(1 + c.n // 3 as bigint) as names, cast(1 as bigint) as segments from c, x",
     "stat_info": "select count(*) as num_records, cast(1 + floor(count(*) / 3) as bigint) as distinct_values from orders",
     "tblcat": "select * from (values ('tblcat', 44::int), ('fldcat', 88::int), ('viewcat', 244::int),"
-    " ('idxcat', 112::int), ('mytable', 30::int)) t(tblname, slotsize)",
-    "idxcat": "select 'idxa' as indexname, 'mytable' as tablename, 'a' as fieldname",
-    "viewcat": "select 'v' as viewname, 'select a, b from mytable where a = 1' as viewdef",
+    " ('idxcat', 112::int), ('purchase', 40::int)) t(tblname, slotsize)",
+    "fldcat": "select * from (values ('purchase', 'p_day', 0::int, 0::int, 4::int), ('purchase', 'p_shop', 1::int, 12::int, 8::int),"
+    " ('purchase', 'p_sum', 0::int, 0::int, 36::int)) t(tblname, fldname, type, length, \"offset\")",
+    "idxcat": "select * from (values ('purchase_day', 'purchase', 'p_day'), ('purchase_shop', 'purchase', 'p_shop'))"
+    " t(indexname, tablename, fieldname)",
+    "viewcat": "select 'first_day' as viewname, 'select p_shop, p_sum from purchase where p_day = 1' as viewdef",
 }
 
 
-def open_scratch(spark: SparkSession) -> Database:
-    """A new database in the folder that all executors share (the warehouse), with no tables yet."""
-    top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return Database(spark, f"{top}/scratch_{uuid.uuid4().hex}")
+def open_scratch(spark: SparkSession, **options) -> Database:
+    """A new database in the folder that all executors share, with no tables yet."""
+    return Database(spark, f"{shared_folder(spark)}/scratch_{uuid.uuid4().hex}", **options)
 
 
-def open_tables(spark: SparkSession, sf_dir: str) -> Database:
-    """A scratch database with the relational test tables as read-only tables."""
-    db = open_scratch(spark)
+def open_tables(spark: SparkSession, sf_dir: str, **options) -> Database:
+    """A scratch database with the relational test tables as read-only tables, each opened when it is first used."""
+    db = open_scratch(spark, **options)
     for name in TABLES:
-        db.register(name, parquet_table(spark, sf_dir, name))
+        db.register(name, partial(parquet_table, spark, sf_dir, name))
     return db
 
 
@@ -184,15 +211,155 @@ def _stat_info(spark, d):
     return spark.createDataFrame([(stats.num_records, stats.distinct_values)], "num_records long, distinct_values long")
 
 
+def _purchases(spark: SparkSession) -> Database:
+    db = open_scratch(spark)
+    db.execute("create table Purchase (p_day int, p_shop varchar(12), p_sum int)")
+    db.execute("create index purchase_day on Purchase(p_day)")
+    db.execute("create index purchase_shop on Purchase(p_shop)")
+    db.execute("create view first_day as select p_shop, p_sum from Purchase where p_day = 1")
+    return db
+
+
 def _catalog(name: str):
-    def run(spark, d):
-        db = open_scratch(spark)
-        db.execute("create table MyTable (A int, B varchar(9))")
-        db.execute("create index idxa on MyTable(A)")
-        db.execute("create view v as select A, B from MyTable where A = 1")
-        return db.table(name)
+    return lambda spark, d: _purchases(spark).table(name)
 
-    return run
+
+def _fldcat(spark, d):
+    return _purchases(spark).query("select tblname, fldname, type, length, offset from fldcat where tblname = 'purchase'")
+
+
+def _indexes_of(spark, d):
+    return spark.createDataFrame(list(_purchases(spark).indexes_of("purchase").items()), "fieldname string, indexname string")
+
+
+def _sort_runs(spark, d):
+    """The rows of each run with whether they are in order after the row before them in it."""
+    fields = ["l_orderkey", "l_linenumber"]
+    runs = R.sort_runs(R.project(parquet_table(spark, d, "lineitem").repartition(5, "l_linenumber"), fields), fields)
+
+    def ordered(batches):
+        last = None
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            fits = [a is None or a <= b for a, b in zip([last, *rows], rows, strict=False)]
+            last = rows[-1] if rows else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fits, pa.bool_())], names=[*fields, "in_order"])
+
+    return runs.mapInArrow(ordered, "l_orderkey long, l_linenumber int, in_order boolean")
+
+
+def _groupby_registered(spark, d):
+    aggregates.register("sum", F.sum)
+    aggregates.register("min", F.min)
+    wanted = [aggregates.Aggregate("sum", "c_custkey"), aggregates.Aggregate("min", "c_name")]
+    return R.group_by(parquet_table(spark, d, "customer"), ["c_mktsegment"], wanted)
+
+
+def _insert_together(spark, d):
+    """Two transactions insert into one table at a time; neither reads it, so both commit."""
+    db = _region(spark, d)
+    one, two = db.begin(), db.begin()
+    one.execute("insert into region (r_regionkey, r_name) values (5, 'ATLANTIS')")
+    two.execute("insert into region (r_regionkey, r_name) values (6, 'LEMURIA')")
+    one.commit()
+    two.commit()
+    return db.table("region")
+
+
+def _compacted(spark, d):
+    db = _region(spark, d)
+    for k in (5, 6, 7):
+        db.execute(f"insert into region (r_regionkey, r_name) values ({k}, 'NEW')")
+    db.compact("region")
+    return db.table("region")
+
+
+def _fails(tx) -> bool:
+    try:
+        tx.commit()
+    except Conflict:
+        return True
+    return False
+
+
+def _conflict(spark, d):
+    """Of two transactions that delete from one table the first one wins."""
+    db = _region(spark, d)
+    one, two = db.begin(), db.begin()
+    one.execute("delete from region where r_regionkey = 1")
+    two.execute("delete from region where r_regionkey = 2")
+    one.commit()
+    return db.table("region").withColumn("conflict", F.lit(_fails(two)))
+
+
+def _phantom(spark, d):
+    """A row that another one inserts into a table that a transaction has read."""
+    db = _region(spark, d)
+    reader = db.begin()
+    reader.query("select r_name from region where r_regionkey = 5").count()
+    db.execute("insert into region (r_regionkey, r_name) values (5, 'ATLANTIS')")
+    reader.execute("delete from region where r_regionkey = 4")
+    return db.table("region").withColumn("conflict", F.lit(_fails(reader)))
+
+
+def _recover(spark, d):
+    """What a transaction has staged when its process ends is dropped."""
+    db = _region(spark, d)
+    lost = db.begin()
+    lost.execute("insert into region (r_regionkey, r_name) values (9, 'NOWHERE')")
+    lost.execute("update region set r_name = 'LOST' where r_regionkey = 0")
+    again = Database(spark, db.storage.root)
+    dropped = again.recover() >= 2
+    return again.table("region").withColumn("dropped", F.lit(dropped))
+
+
+def _planner(spark, d):
+    """A planner of one's own: the engine's, with one filter more."""
+
+    def stricter(query, views, read):
+        return compile_query(query, views, lambda name: read(name).filter("n_nationkey > 10"))
+
+    return open_tables(spark, d, planner=stricter).query("select n_name from nation where n_regionkey = 2")
+
+
+def _command(spark, d):
+    """An update that runs another way: names come from keys."""
+    db = _region(spark, d)
+
+    def renamed(tx, command):
+        for r in tx.table(command.table).select("r_regionkey").collect():
+            where = Predicate((Term(FieldRef("r_regionkey"), Literal(r.r_regionkey)),))
+            tx.run(Update(command.table, "r_name", Literal(f"R{r.r_regionkey}"), where))
+        return 0
+
+    db.commands[Update] = renamed
+    db.execute("update region set r_name = 'any'")
+    return db.table("region")
+
+
+_TERMS = (Term(FieldRef("c_mktsegment"), Literal("BUILDING")), Term(FieldRef("c_nationkey"), FieldRef("n_nationkey")))
+
+
+def _equates(spark, d):
+    p, nation = Predicate(_TERMS), parquet_table(spark, d, "nation")
+    both = [*parquet_table(spark, d, "customer").columns, *nation.columns]
+    row = (p.constant_for("c_mktsegment").value, p.field_for("c_nationkey"), p.applies_to(both), p.applies_to(nation.columns))
+    return spark.createDataFrame([row], "constant string, field string, applies boolean, applies_to_nation boolean")
+
+
+def _reduction_factor(spark, d):
+    db = open_tables(spark, d)
+    tables = [estimates.Estimate(s.num_records, {f: s.distinct_values for f in db.table(t).columns}) for t in ("customer", "nation") for s in [db.stats(t)]]
+    both = estimates.product(*tables)
+    row = tuple(estimates.reduction_factor(Predicate((t,)), both) for t in _TERMS)
+    return spark.createDataFrame([row], "by_constant long, by_field long")
+
+
+def _estimate(spark, d):
+    text = "select c_name, c_mktsegment from customer, nation where c_mktsegment = 'BUILDING' and c_nationkey = n_nationkey"
+    e = open_tables(spark, d).estimate(text)
+    row = (e.records, e.distinct["c_name"], e.distinct["c_mktsegment"])
+    return spark.createDataFrame([row], "num_records long, names long, segments long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -218,6 +385,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_snapshot": _delete,
         "insert_snapshot": _insert,
         "rollback_snapshot": _rollback,
+        "one_buffer_sort": _sorted("supplier", ["s_nationkey", "s_suppkey"], ["s_nationkey", "s_suppkey"], "one_buffer"),
+        "sort_runs": _sort_runs,
+        "groupby_registered": _groupby_registered,
+        "indexes_of": _indexes_of,
+        "insert_together": _insert_together,
+        "compacted": _compacted,
+        "conflict": _conflict,
+        "phantom": _phantom,
+        "recover": _recover,
+        "planner": _planner,
+        "command": _command,
+        "equates": _equates,
+        "reduction_factor": _reduction_factor,
+        "estimate": _estimate,
+        "fldcat": _fldcat,
         "stat_info": _stat_info,
         "tblcat": _catalog("tblcat"),
         "idxcat": _catalog("idxcat"),

@@ -1,4 +1,4 @@
-"""Read-only tables from Parquet files outside the database."""
+"""Read-only tables from Parquet files outside the database, and the folder for files of one's own."""
 
 from __future__ import annotations
 
@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of a folder of Parquet tables; only the footer is read until an action runs."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (top or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

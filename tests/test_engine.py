@@ -6,12 +6,15 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from harrow import database
 from harrow import errors as err
 from harrow.database import Database
 from harrow.functions import aggregates
 from harrow.functions.aggregates import count, maximum
 from harrow.operators import relational as R
+from harrow.plans import estimates
 from harrow.plans.ast import FieldRef, Literal, Predicate, Term
+from harrow.sources import storage
 from harrow.streaming import query_stream
 
 
@@ -169,16 +172,121 @@ def test_views(db):
 
 
 def test_catalog(db):
-    db.execute("create table MyTable (A int, B varchar(9))")
-    assert rows(db.query("select slotsize from tblcat where tblname = 'mytable'")) == {(30,): 1}
-    got = rows(db.query("select fldname, type, length, offset from fldcat where tblname = 'mytable'"))
-    assert got == Counter([("a", 0, 0, 4), ("b", 1, 9, 8)])
+    db.execute("create table Shop (s_town varchar(20), s_id int)")
+    assert rows(db.query("select slotsize from tblcat where tblname = 'shop'")) == {(52,): 1}
+    got = rows(db.query("select fldname, type, length, offset from fldcat where tblname = 'shop'"))
+    assert got == Counter([("s_town", 1, 20, 4), ("s_id", 0, 0, 48)])
     assert rows(db.query("select tblname from tblcat")) == Counter(
-        (x,) for x in ("tblcat", "fldcat", "viewcat", "idxcat", "mytable")
+        (x,) for x in ("tblcat", "fldcat", "viewcat", "idxcat", "shop")
     )
-    fill(db, "create table big (A int, B varchar(9))", "big", [(i, "x") for i in range(50)])
+
+
+def test_statistics_are_kept(db, monkeypatch):
+    fill(db, "create table big (a int, b varchar(9))", "big", [(i, "x") for i in range(50)])
+    opened = []
+    monkeypatch.setattr(db.storage, "read_files", lambda *x: opened.append(x))
     stats = db.stats("big")
-    assert (stats.num_records, stats.num_blocks, stats.distinct_values) == (50, 4, 17)
+    assert (stats.num_records, stats.num_blocks, stats.distinct_values) == (50, 4, 17) and not opened
+    frames = iter([db.spark.range(7), db.spark.range(9)])
+    db.register("given", lambda: next(frames))
+    found = [db.stats("given").num_records]
+    db.registered["given"] = db.spark.range(9)
+    found += [db.stats("given").num_records for _ in range(100)]
+    assert found == [7] * 100 + [9]  # counted again after a hundred calls
+
+
+def test_dml_rewrites_only_files_with_hits(db):
+    db.execute("create table t (a int, b varchar(9))")
+    with db.begin() as tx:
+        for k in range(4):
+            tx.load("t", db.spark.createDataFrame([(10 * k + i, f"r{k}") for i in range(10)], "a int, b string").coalesce(1))
+    files = lambda: [f for f, _ in db.committed()[1].table("t").files]
+    first = files()
+    assert len(first) == 4
+    assert db.execute("update t set b = 'hit' where a = 13") == 1
+    second = files()
+    assert set(first) - set(second) == {first[1]} and len(second) == 4
+    assert db.execute("delete from t where b = 'r2'") == 10  # every row of one file: nothing is written
+    assert files() == [f for f in second if f != first[2]]
+    assert db.execute("delete from t where a = 0") == 1 and db.stats("t").num_records == 29
+    assert rows(db.query("select a from t where b = 'hit'")) == {(13,): 1} and db.table("t").count() == 29
+    assert db.recover() == 3 and db.table("t").count() == 29
+
+
+def test_compaction(db, monkeypatch):
+    monkeypatch.setattr(database, "MOST_SMALL_FILES", 3)
+    db.execute("create table t (a int)")
+    for k in range(5):
+        db.execute(f"insert into t(a) values ({k})")
+    assert len(db.committed()[1].table("t").files) == 2  # one of four rows, and the last one
+    assert rows(db.table("t")) == Counter((k,) for k in range(5))
+    tx = db.begin()
+    assert tx.compact("t") == 2
+    db.execute("insert into t(a) values (5)")
+    with pytest.raises(err.Conflict):
+        tx.commit()
+    assert rows(db.table("t")) == Counter((k,) for k in range(6))
+
+
+def test_inserts_do_not_conflict(db):
+    db.execute("create table t (a int)")
+    one, two, reader = db.begin(), db.begin(), db.begin()
+    one.execute("insert into t(a) values (1)")
+    two.execute("insert into t(a) values (2)")
+    reader.execute("insert into t(a) values (3)")
+    assert reader.query("select a from t").count() == 1
+    one.commit()
+    two.commit()
+    with pytest.raises(err.Conflict):
+        reader.commit()
+    assert rows(db.table("t")) == Counter([(1,), (2,)])
+
+
+def test_log_is_bounded(db, monkeypatch):
+    monkeypatch.setattr(storage, "KEPT_ENTRIES", 3)
+    empty = {"tables": {}, "views": {}, "indexes": []}
+    for n in range(1, 9):
+        assert db.storage.append(n, empty)
+    assert sorted(db.storage._numbers()) == [6, 7, 8]
+    assert not db.storage.append(2, empty) and not db.storage.append(8, empty)  # 2 is free, but was taken once
+    assert db.storage.last()[0] == 8 and sorted(db.storage._numbers()) == [6, 7, 8]
+
+
+def test_indexed_rows_are_clustered(db):
+    db.execute("create table t (a int, b int)")
+    db.execute("create index t_b on t(b)")
+    data = [(i, i * 7919 % 1000) for i in range(1000)]
+    with db.begin() as tx:
+        tx.load("t", db.spark.createDataFrame(data, "a int, b int"))
+    spans = db.table("t").groupBy(db.storage.file_name().alias("f")).agg(F.min("b").alias("low"), F.max("b").alias("high")).collect()
+    spans = sorted((r.low, r.high) for r in spans)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))  # a look-up meets one file
+    assert rows(db.index_select("t_b", 5)) == Counter(x for x in data if x[1] == 5)
+
+
+def test_sort_runs(spark):
+    frame = spark.createDataFrame([(i * 7919 % 100, i) for i in range(100)], "a int, b int").repartition(4)
+    runs = R.sort_runs(frame, ["a"])
+    assert "rangepartitioning" not in runs._jdf.queryExecution().executedPlan().toString()
+    found = runs.withColumn("run", F.spark_partition_id()).collect()
+    assert len({r.run for r in found}) == 4 and len(found) == 100
+    for run in range(4):
+        values = [r.a for r in found if r.run == run]
+        assert values == sorted(values)
+
+
+def test_estimates(db):
+    db.register("t", db.spark.range(30).selectExpr("id as a", "id as b"))
+    db.register("u", db.spark.range(60).selectExpr("id as c"))
+    found = db.estimate("select a, c from t, u where a = c and b = 1")
+    assert (found.records, found.distinct) == (30 * 60 // (21 * 11), {"a": 11, "c": 11})
+    assert db.estimate("select a from t where 1 = 2").records == 0 and db.estimate("select a from t where 1 = 1").records == 30
+    db.execute("create view v as select a, b from t where b = 1")
+    assert db.estimate("select c from v, u where a = c").records == (30 // 11) * 60 // 21
+    both = estimates.Estimate(100, {"a": 10, "b": 20})
+    assert estimates.group_by(both, ("a", "b"), ("countofa",)) == estimates.Estimate(200, {"a": 10, "b": 20, "countofa": 200})
+    assert estimates.index_select(both, "b", 1) == estimates.Estimate(5, {"a": 10, "b": 1})
+    assert estimates.join(both, estimates.Estimate(50, {"c": 5}), "a", "c").records == 500
 
 
 def test_transactions(db):
