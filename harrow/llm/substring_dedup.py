@@ -37,21 +37,30 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, drop_written, fresh, map_rows, ship, written
 
-LENGTH, SHORT = 400, 200
+LENGTH, SHORT = 400, 256
 #: Bytes of the rolling hash, and places of which one is a trigger; SPAN a power of two, both fit in the shortest length.
 HASHED, SPAN = 16, 128
 #: Entries of a block that one task sorts; larger blocks are dealt again by these ranges of offsets.
 MOST_CONTEXTS = 256
+#: Entries of a block up to which pairs are listed one by one; beyond that in arrays.
+FEW = 12
 WIDTHS = (32, 4, 1)
 #: Rows (some 50 bytes) that may be broadcast; with more the join shuffles.
 MOST_BROADCAST_ROWS = 300_000
 
+#: Rows of a batch of phrases.
+MOST_ROWS = 20_000
+_HALF = 1 << 63
+#: More than any length and than any number of starts in a row.
+_WIDTH = 1 << 16
+_hash = xxhash.xxh3_64_intdigest
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,15 +106,42 @@ def _parse(docs: DataFrame, lengths: tuple[int, ...], span: int) -> DataFrame:
     shortest, longest = min(lengths), max(lengths)
     sure = shortest - span + 1
 
-    def run(rows):
-        for k1, text, k2 in rows:
-            raw = text.encode("utf-8", "surrogatepass")
-            for p, low, high in triggers(raw, shortest, span):
-                u = xxhash.xxh3_64_intdigest(raw[p - high : p - low + longest], seed=low << 16 | high)
-                room = min(len(raw) - p, longest - low)
-                yield xxhash.xxh3_64_intdigest(raw[p : p + sure]) - (1 << 63), u - (1 << 63), k1, k2, p, low, high, room
-
-    return map_rows(docs, run, "bucket long, u long, k1 long, k2 long, p int, low int, high int, room int", per_batch=10_000)
+    names = ["bucket", "u", "k1", "k2", "p", "low", "high", "room"]
+    schema = pa.schema([(c, pa.int64() if k < 4 else pa.int32()) for k, c in enumerate(names)])
+
+    def run(batches):
+        columns: list[list[int]] = [[] for _ in names]
+        buckets, us, k1s, k2s, ps, lows, highs, rooms = columns
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for c in columns:
+                c.clear()
+            return out
+
+        for given in batches:
+            for at in range(0, given.num_rows, 64):
+                part = given.slice(at, 64)
+                for k1, text, k2 in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    raw, before = text.encode("utf-8", "surrogatepass"), len(ps)
+                    for p, low, high in triggers(raw, shortest, span):
+                        buckets.append(_hash(raw[p : p + sure]) - _HALF)
+                        us.append(_hash(raw[p - high : p - low + longest], low << 16 | high) - _HALF)
+                        ps.append(p)
+                        lows.append(low)
+                        highs.append(high)
+                        rooms.append(min(len(raw) - p, longest - low))
+                        if len(ps) >= MOST_ROWS:
+                            k1s += [k1] * (len(ps) - before)
+                            k2s += [k2] * (len(ps) - before)
+                            yield batch()
+                            before = 0
+                    k1s += [k1] * (len(ps) - before)
+                    k2s += [k2] * (len(ps) - before)
+        if ps:
+            yield batch()
+
+    return docs.mapInArrow(run, "bucket long, u long, k1 long, k2 long, p int, low int, high int, room int")
 
 
 def _following(cells: list[tuple[int, int, int]], k: int, end: int, span: int) -> list[int]:
@@ -141,9 +177,8 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def _of_all(order: list[int], near: list[int]) -> np.ndarray:
+def _least_between(order: list[int], near: list[int], n: int) -> np.ndarray:
     """Common lengths of all pairs, from a sorted order and the common lengths of neighbours in it."""
-    n = len(order)
     out = np.full((n, n), 1 << 30, np.int32)
     for i in range(n - 1):
         reach = np.minimum.accumulate(near[i:])
@@ -155,25 +190,24 @@ def _of_all(order: list[int], near: list[int]) -> np.ndarray:
 class Block:
     """Entries (phrase before the trigger, continuation, cuts of the continuation) that share a trigger string.
 
-    ``suffixes`` has for any two entries the longest common suffix of their phrases, ``prefixes`` the longest common
-    prefix of their continuations.
+    ``by_suffix`` is the suffix array of the dictionary: entries in the order of their phrases, read back from the
+    trigger; ``by_parse`` the suffix array of the parse: entries in the order of their continuations, as sequences of
+    ranks of phrases. Each comes with the common lengths of neighbours; the least of those between two entries is theirs.
     """
 
     def __init__(self, entries: list[tuple[bytes, bytes, list[int]]]) -> None:
-        dictionary = sorted({e[0][::-1] for e in entries})
-        place = {x: i for i, x in enumerate(dictionary)}
-        phrase = [place[e[0][::-1]] for e in entries]
-        near = [_common(a, b) for a, b in zip(dictionary, dictionary[1:], strict=False)]
-        common = _of_all(list(range(len(dictionary))), near)
-        common[np.diag_indices(len(dictionary))] = [len(x) for x in dictionary]
-        self.suffixes = common[np.ix_(phrase, phrase)]
+        self.n = len(entries)
+        phrases = [e[0][::-1] for e in entries]
+        self.by_suffix = sorted(range(self.n), key=phrases.__getitem__)
+        self.suffix_near = [_common(phrases[a], phrases[b]) for a, b in zip(self.by_suffix, self.by_suffix[1:], strict=False)]
 
         parse = [self._phrases(after, cuts) for _, after, cuts in entries]
         rank = {x: i for i, x in enumerate(sorted({x for p in parse for x in p}))}
-        ranks = [tuple(rank[x] for x in p) for p in parse]
-        order = sorted(range(len(entries)), key=ranks.__getitem__)
-        near = [self._common_parse(entries[a], ranks[a], entries[b], ranks[b]) for a, b in zip(order, order[1:], strict=False)]
-        self.prefixes = _of_all(order, near)
+        ranks = [[rank[x] for x in p] for p in parse]
+        self.by_parse = sorted(range(self.n), key=ranks.__getitem__)
+        self.parse_near = [
+            self._common_parse(entries[a], ranks[a], entries[b], ranks[b]) for a, b in zip(self.by_parse, self.by_parse[1:], strict=False)
+        ]
 
     @staticmethod
     def _phrases(after: bytes, cuts: list[int]) -> list[bytes]:
@@ -181,7 +215,7 @@ class Block:
         return [*(after[a:b] for a, b in zip(cuts[:-1:2], cuts[1::2], strict=True)), after[cuts[-1] :]]
 
     @staticmethod
-    def _common_parse(one: tuple, ranks_one: tuple, two: tuple, ranks_two: tuple) -> int:
+    def _common_parse(one: tuple, ranks_one: list[int], two: tuple, ranks_two: list[int]) -> int:
         """Whole phrases by rank, then bytes of the first phrase that differs."""
         same = 0
         for x, y in zip(ranks_one, ranks_two, strict=False):
@@ -193,6 +227,34 @@ class Block:
         at = one[2][2 * same]
         return at + _common(one[1][at:], two[1][at:])
 
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(i, j), i < j: the longest common suffix of the phrases and the longest common prefix of the continuations."""
+        found: list[dict[tuple[int, int], int]] = []
+        for order, near in ((self.by_suffix, self.suffix_near), (self.by_parse, self.parse_near)):
+            common = {}
+            for x, i in enumerate(order):
+                least = 1 << 30
+                for j, length in zip(order[x + 1 :], near[x:], strict=True):
+                    least = min(least, length)
+                    common[(i, j) if i < j else (j, i)] = least
+            found.append(common)
+        return {k: (v, found[1][k]) for k, v in found[0].items()}
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for all pairs as matrices."""
+        return _least_between(self.by_suffix, self.suffix_near, self.n), _least_between(self.by_parse, self.parse_near, self.n)
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of ranges of whole numbers, both ends included."""
+    found: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if found and a <= found[-1][1] + 1:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
+
 
 def repeats(group: list[tuple[int, int, int, bytes, bytes, list[int]]], lengths: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
     """Of each entry (count, low, high, before, after, cuts) of a block: (length, offsets, as a range) that repeat.
@@ -200,24 +262,32 @@ def repeats(group: list[tuple[int, int, int, bytes, bytes, list[int]]], lengths:
     Entries differ from one another; one with a count over 1 repeats as a whole and needs no answer.
     """
     block = Block([g[3:] for g in group])
-    lows, highs = (np.array([g[k] for g in group])[:, None] for k in (1, 2))
-    high = np.minimum(block.suffixes, highs)
     answers: list[list[tuple[int, int, int]]] = [[] for _ in group]
+    few = len(group) <= FEW
+    if few:
+        pairs = block.pairs()
+    else:
+        suffixes, prefixes = block.arrays()
+        lows, highs = (np.array([g[k] for g in group])[:, None] for k in (1, 2))
+        high = np.minimum(suffixes, highs)
     for length in lengths:
-        low = np.maximum(length - block.prefixes, lows)
-        shared = low <= high
-        np.fill_diagonal(shared, False)
-        for i in np.flatnonzero(shared.any(axis=1)).tolist():
-            if group[i][0] > 1:
-                continue
-            found: list[tuple[int, int]] = []
-            at = np.flatnonzero(shared[i])
-            for a, b in sorted(zip(low[i, at].tolist(), high[i, at].tolist(), strict=True)):
-                if found and a <= found[-1][1] + 1:
-                    found[-1] = (found[-1][0], max(b, found[-1][1]))
-                else:
-                    found.append((a, b))
-            answers[i] += [(length, a, b) for a, b in found]
+        found: dict[int, list[tuple[int, int]]] = {}
+        if few:
+            for pair, (suffix, prefix) in pairs.items():
+                for i in pair:
+                    a, b = max(length - prefix, group[i][1]), min(suffix, group[i][2])
+                    if a <= b and group[i][0] == 1:
+                        found.setdefault(i, []).append((a, b))
+        else:
+            low = np.maximum(length - prefixes, lows)
+            shared = low <= high
+            np.fill_diagonal(shared, False)
+            for i in np.flatnonzero(shared.any(axis=1)).tolist():
+                if group[i][0] == 1:
+                    at = np.flatnonzero(shared[i])
+                    found[i] = list(zip(low[i, at].tolist(), high[i, at].tolist(), strict=True))
+        for i, ranges in found.items():
+            answers[i] += [(length, a, b) for a, b in _joined(ranges)]
     return answers
 
 
@@ -259,8 +329,8 @@ def _narrower(rows: DataFrame, width: int, length: int) -> DataFrame:
                 a, b = max(low, s * width), min(high, s * width + width - 1)
                 left, right = before[len(before) - b :], after[: length - a]
                 sure = left[len(left) - s * width :] + b"|" + right[: length - s * width - width + 1]
-                bucket = xxhash.xxh3_64_intdigest(sure, seed=s) - (1 << 63)
-                u = xxhash.xxh3_64_intdigest(left + b"|" + right, seed=a << 16 | b) - (1 << 63)
+                bucket = _hash(sure, s) - _HALF
+                u = _hash(left + b"|" + right, a << 16 | b) - _HALF
                 n = sum(e <= len(right) for e in cuts[1::2])
                 yield bucket, u, t, a, b, k1, k2, p, left, right, cuts[: 2 * n + 1]
 
@@ -285,20 +355,25 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: str | Column) -> Data
 
 
 def _starts(rows: DataFrame, lengths: tuple[int, ...], room: Column) -> DataFrame:
-    """k1, k2, length, first, last: all starts of the entries, of each length that the text has room for."""
-    length = F.explode(F.array(*map(F.lit, lengths))).alias("length")
-    wide = rows.select("k1", "k2", "p", "low", "high", room.alias("room"), length)
-    least = F.greatest("low", F.col("length") - F.col("room"))
-    wide = wide.filter(least <= F.col("high"))
-    return wide.select("k1", "k2", F.col("length").cast("int"), (F.col("p") - F.col("high")).alias("first"), (F.col("p") - least).alias("last"))
+    """k1, k2, length, first, last: all starts of the entries, each with the greatest length that the text has room for."""
+    cases, above = [], F.col("high") + 1
+    for length in sorted(lengths, reverse=True):
+        least = F.greatest(F.col("low"), F.lit(length) - room)
+        cases.append(F.struct(F.lit(length).alias("length"), least.alias("a"), (above - 1).alias("b")))
+        above = F.least(above, least)
+    wide = rows.select("k1", "k2", "p", F.explode(F.filter(F.array(*cases), lambda x: x["a"] <= x["b"])).alias("x"))
+    return wide.select("k1", "k2", "x.length", (F.col("p") - F.col("x.b")).alias("first"), (F.col("p") - F.col("x.a")).alias("last"))
 
 
 def repeated_ranges(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), span: int = SPAN,
 ) -> DataFrame:
-    """k1, k2, ranges: per document the places (length, first, last, in bytes) at which repeated strings start."""
+    """k1, k2, ranges: per document the places at which repeated strings start, as codes (see ``decoded``).
+
+    A place is listed with the greatest length at least; it repeats with any shorter length too.
+    """
     shortest, longest = min(lengths), max(lengths)
-    if span & (span - 1) or span + HASHED > shortest:
+    if span & (span - 1) or span + HASHED > shortest or longest >= _WIDTH:
         raise ValueError("the span must be a power of two and fit in the lengths with the hashed bytes")
     ship(docs.sparkSession)
     keyed = _keyed(docs, doc_id, text)
@@ -364,7 +439,13 @@ def repeated_ranges(
     found = ranges[0]
     for r in ranges[1:]:
         found = found.unionByName(r)
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("length", "first", "last")).alias("ranges"))
+    code = (F.col("first").cast("long") * _WIDTH + F.col("last") - F.col("first")) * _WIDTH + F.col("length")
+    return found.groupBy("k1", "k2").agg(F.collect_list(code).alias("ranges"))
+
+
+def decoded(codes: list[int] | None) -> list[tuple[int, int, int]]:
+    """(length, first, last) of the codes."""
+    return [(c % _WIDTH, c // _WIDTH**2, c // _WIDTH**2 + c // _WIDTH % _WIDTH) for c in codes or ()]
 
 
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -386,8 +467,13 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    return covered([(x["first"], x["last"]) for x in found or () if x["length"] == length], length)
+def _runs(codes: list[int] | None, *lengths: int) -> list[tuple[int, int]]:
+    """The maximal byte runs that repeated strings of any of the lengths cover."""
+    if not codes:
+        return []
+    found = decoded(codes)
+    runs = [r for n in lengths for r in covered([(a, b) for x, a, b in found if x == n], n)]
+    return covered(runs, 0)
 
 
 def report(
@@ -402,7 +488,7 @@ def report(
             raw = t.encode("utf-8", "surrogatepass")
             runs = _runs(found, length)
             kept = kept_bytes(raw, runs)
-            covers = sum(b - a for a, b in _runs(found, short))
+            covers = sum(b - a for a, b in _runs(found, length, short))
             yield i, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), covers
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_short long"

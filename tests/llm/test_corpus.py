@@ -61,6 +61,8 @@ def pieces(rng, alphabet):
 
 @pytest.mark.parametrize("most", [256, 1])
 def test_op1_random(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "FEW", 12 if most == 1 else 3)
+    monkeypatch.setattr(substring_dedup, "MOST_ROWS", 50)
     monkeypatch.setattr(substring_dedup, "MOST_CONTEXTS", most)  # 1: every bucket is dealt by narrower ranges
     monkeypatch.setattr(substring_dedup, "MOST_BROADCAST_ROWS", 0 if most == 1 else 300_000)
     rng = random.Random(most)
@@ -87,11 +89,11 @@ def test_op1_block():
     assert any(len(e[2]) > 1 for e in entries)
     block = substring_dedup.Block(entries)
     common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    pairs, (suffixes, prefixes) = block.pairs(), block.arrays()
     for i, a in enumerate(entries):
-        for j, b in enumerate(entries):
-            if i != j:
-                assert block.suffixes[i, j] == common(a[0][::-1], b[0][::-1])
-                assert block.prefixes[i, j] == common(a[1], b[1])
+        for j, b in enumerate(entries[:i]):
+            want = common(a[0][::-1], b[0][::-1]), common(a[1], b[1])
+            assert pairs[j, i] == (suffixes[i, j], prefixes[i, j]) == (suffixes[j, i], prefixes[j, i]) == want
 
 
 def test_op1_dedup(spark):
@@ -356,6 +358,13 @@ def test_op10_blocks(spark, monkeypatch):
     stay[3] = stay[None] = 1  # rows that repeat id and text
     assert Counter(r.doc_id for r in kept.collect()) == stay
     assert near_dedup.annotate(docs.limit(0)).count() == near_dedup.dedup(docs.limit(0)).count() == 0
+    clashing = ["id", "HASH", "id_", "__id", "__hash", "root", "n", "stay", "component_id"]
+    wide = docs.select("*", *(F.concat_ws("-", "doc_id", F.lit(c)).alias(c) for c in clashing))
+    again = near_dedup.dedup(wide)
+    assert again.columns == wide.columns
+    assert Counter(map(tuple, again.select(*clashing).collect())) == Counter(
+        tuple("-".join([*([] if r.doc_id is None else [str(r.doc_id)]), c]) for c in clashing) for r in kept.collect()
+    )
 
 
 def test_estimate():
