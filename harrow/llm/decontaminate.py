@@ -5,13 +5,17 @@ stream of words: the automaton's state after each word gives the longest item su
 there, and so each window of the items that does. Runs of words whose neighbours never meet in any
 item cannot hold a window and are skipped without stepping through the automaton.
 
-Items are read in blocks of bounded size, one pass over each partition for each block, with the
-hits of earlier blocks carried along, so the automaton fits a worker whatever the number of items.
+Items are dealt to blocks of bounded size. One block is one pass over the documents. With more, the driver
+holds one block at a time, each pass writes the hits that it finds, by a digest of the text, to the shared folder
+before the next block is read, and a last pass joins all hits of a text to its documents. So no worker ever has
+more than one automaton, and driver and workers need the same memory whatever the size of the benchmark.
 
 * null or empty text, of a document or an item: no words, nothing hit;
 * null doc_id: its row is reported like any other; items with a null id count as item ``null``;
-* repeated documents: a row each; repeated items: each id counts once;
-* an item shorter than the window is one window; empty benchmark: no hits; empty table: no rows.
+* repeated documents: a row each; repeated items: each id counts once, and equal rows of items are read once;
+* very long text: one at a time in a worker, whole; a longer item than a block is a block of its own;
+* an item shorter than the window is one window; empty benchmark: no hits; empty table: no rows;
+* further columns, whatever their names, pass through ``decontaminate`` unread, but for n_chars.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, ddl, id_text, map_rows, ship
+from .common import WORD_BYTES, ddl, drop_written, fresh, id_text, map_rows, ship, written
 
 WINDOW = 10
 #: Bytes of item text in one automaton (some 20 times that in a worker's memory).
 BLOCK_BYTES = 4_000_000
+#: Bytes of hits that may be broadcast; with more the join shuffles.
+MOST_BROADCAST = 32 << 20
 #: A document of which more than this part of the words is hit is dropped by ``decontaminate``.
 MOST_COVERAGE = 0.5
 
@@ -172,49 +178,77 @@ def _words(text: str) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes`` (a longer item is a block), each fetched by itself."""
+def _dealt(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """block, item and text of the items, and how many blocks of about ``block_bytes`` there are."""
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    ).filter(F.length("text") > 0).distinct()
+    items = written(items)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return items.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("block"), "item", "text"), n
+
+
+def _hits(texts: DataFrame, dealt: DataFrame, n: int, window: int) -> DataFrame:
+    """h1, h2, spans (starts and ends in turn) and items of each text with a hit; ``texts`` has columns h1, h2 and text."""
+    spark, found = texts.sparkSession, []
     for k in range(n):
-        yield [tuple(r) for r in dealt.filter(F.col("block") == k).select("item", "text").collect()]
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in dealt.filter(F.col("block") == k).collect()])
 
+        def scan(rows, shared=shared):
+            scanner = Scanner(shared.value, window)
+            for h1, h2, text in rows:
+                spans, names = scanner.scan(_words(text))
+                if spans:
+                    yield h1, h2, [x for s in spans for x in s], sorted(names)
+
+        passed = map_rows(texts, scan, "h1 long, h2 long, spans array<long>, items array<string>")
+        found.append(written(passed.dropDuplicates(["h1", "h2"])))
+        shared.unpersist()
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    # A text has a row for each block that hits it, and no more spans than words in each.
+    hits = every.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hits = written(hits)
+    drop_written(*found)
+    return hits
 
-def _scanned(frame: DataFrame, text: str, benchmark: DataFrame, finish, schema: str, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
-    """``finish(row, words, spans, items)`` of each row, without the rows for which it gives None.
 
-    Block by block, spans and items are carried in two columns more; no step shuffles.
-    """
+def _scanned(frame: DataFrame, text: str, benchmark: DataFrame, finish, schema: str, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``finish(row, words, spans, items)`` of each row, without the rows for which it gives None."""
     spark = frame.sparkSession
     ship(spark)
     width, at = len(frame.columns), frame.columns.index(text)
-    carried = ddl(frame) + ", `__spans` array<long>, `__items` array<string>"
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
-    for k, items in enumerate(blocks):
-        shared = spark.sparkContext.broadcast([x for x in items if x[1]])
+    dealt, n = _dealt(benchmark, item_id, item_text, block_bytes)
+    if n == 1:
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in dealt.collect()])
 
-        def scan(rows, shared=shared, first=k == 0, last=k == len(blocks) - 1):
+        def scan(rows):
             scanner = Scanner(shared.value, window)
             for row in rows:
                 words = _words(row[at])
-                spans, names = scanner.scan(words)
-                if not first:
-                    spans = merged([*spans, *zip(row[width][::2], row[width][1::2], strict=True)])
-                    names |= set(row[width + 1])
-                if not last:
-                    yield *row[:width], [x for s in spans for x in s], sorted(names)
-                elif (done := finish(row[:width], words, spans, names)) is not None:
+                if (done := finish(row, words, *scanner.scan(words))) is not None:
                     yield done
 
-        frame = map_rows(frame, scan, schema if k == len(blocks) - 1 else carried)
-    return frame
+        return map_rows(frame, scan, schema)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keys = [F.xxhash64(whole), F.xxhash64(whole, F.lit(1))]
+    hits = _hits(frame.select(keys[0].alias("h1"), keys[1].alias("h2"), whole.alias("text")), dealt, n, window)
+    names = fresh(frame, "h1", "h2", "spans", "items")
+    hits = hits.toDF(*names)
+    size = hits.agg(F.sum(40 + 8 * F.size(names[2]) + 32 * F.size(names[3]))).first()[0] or 0
+    hits = F.broadcast(hits) if size <= MOST_BROADCAST else hits
+    joined = frame.join(hits, (keys[0] == F.col(names[0])) & (keys[1] == F.col(names[1])), "left").drop(*names[:2])
+
+    def end(rows):
+        for row in rows:
+            spans = row[width] or []
+            spans = merged(list(zip(spans[::2], spans[1::2], strict=True)))
+            if (done := finish(row[:width], _words(row[at]), spans, set(row[width + 1] or ()))) is not None:
+                yield done
+
+    return map_rows(joined, end, schema)
 
 
 def report(

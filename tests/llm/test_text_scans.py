@@ -338,6 +338,27 @@ def test_op9_random(spark):
     assert decontaminate.report(frames[0].limit(0), frames[1]).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_op9_many_blocks(spark, monkeypatch, most):
+    """Some thirty passes give what one gives, one automaton in each, with all columns, repeats and nulls."""
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
+    items = [(k, say(rng.randint(1, 25))) for k in range(40)] + [(7, "a b c")] * 30
+    docs = [(k % 50, say(rng.randint(0, 60))) for k in range(60)] + [(1, None), (None, "a b c d e"), (None, "a b c d e")]
+    docs = spark.createDataFrame([(*r, "c", "d") for r in docs], "doc_id long, text string, h1 string, Items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    dealt, n = decontaminate._dealt(bench, "item_id", "text", 40)
+    assert n > 10 and dealt.count() == len(set(items))
+    whole, parts = (decontaminate.decontaminate(docs, bench, window=6, block_bytes=b) for b in (1 << 20, 40))
+    assert parts.columns == docs.columns
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    assert whole.count() < docs.count()
+    steps = [f._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for f in (whole, parts)]
+    assert steps[0] == steps[1]
+    assert reported(decontaminate.report(docs, bench, window=6, block_bytes=40)) == reported(decontaminate.report(docs, bench, window=6))
+
+
 def test_op9_cut(spark):
     words = "one two three four five six seven eight nine ten".split()
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
