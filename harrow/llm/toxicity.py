@@ -7,13 +7,15 @@ sample of labelled rows, the ``MOST_LABELS`` smallest by a hash of the id; featu
 executors, and those are kept whose documents' labels differ most (chi squared). The model has at
 most ``MOST_FEATURES`` weights, so its broadcast is bounded; scoring is one pass without a shuffle.
 
-Grades: a label column with more than two values is taken as it is. Binary labels are graded by the
-model's own features: toxic documents with at least the median share of kept features are grade 2,
-other toxic ones grade 1, all others grade 0.
+Grades come from the labels alone: a label of any number of values is taken as it is, and where there is a
+second label, of quality, a marked document that is also of no quality is one grade higher. Grades that no
+labelled document has are left out.
 
 * null or empty text: no features, severity of an empty document; null labels and labels of unknown
-  documents: unused; repeated labels: the highest counts; repeated documents: a row each;
-* no labels, or of one class only: nothing is toxic; empty table: no rows; null doc_id: kept as null;
+  documents: unused; repeated labels: the highest grade counts; repeated documents: scored a row each, and of
+  rows that repeat an id one is learned from, that with the least hash of its text;
+* no labels, or of one class only: nothing is toxic; few labels: the limits below shrink with them;
+* empty table: no rows; null doc_id: kept as null; very long text: whole, one at a time in a worker;
 * further columns, whatever their names, pass through ``reject`` unread.
 """
 
@@ -28,14 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, id_text, map_rows, ship
+from .common import alnum_words, drop_written, id_text, map_rows, ship, written
 
 #: Bounds of the fit: labelled rows and weights.
 MOST_LABELS = 20_000
 MOST_FEATURES = 4096
 #: Bytes of a word's beginning that make a feature.
 PREFIXES = range(4, 10)
-#: A feature needs this many documents and this chi squared (one degree of freedom).
+#: A feature needs this many documents and this chi squared (one degree of freedom); of fewer labels, whose chi squared
+#: cannot exceed their number, a quarter of them, and as many documents as are toxic at most.
 LEAST_DOCS = 4
 LEAST_CHI2 = 25.0
 #: Expected severity from which a document is rejected.
@@ -143,16 +146,21 @@ def chi2(a: int, b: int, n_a: int, n_b: int) -> float:
 
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    label_id: str = "doc_id", most_labels: int = MOST_LABELS,
+    label_id: str = "doc_id", most_labels: int = MOST_LABELS, quality: str = "quality",
 ) -> CumulativeLink:
-    """The model for the labelled documents."""
+    """The model for the labelled documents; ``quality`` is used where the labels have such a column."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("grade"))
+    grade = F.greatest(F.col(label).cast("int"), F.lit(0))
+    if quality in labels.columns:
+        grade = grade + F.when((grade > 0) & (F.col(quality) == 0), 1).otherwise(0)
+    grade = F.when(F.col(label).isNotNull(), grade)
+    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), grade.alias("grade"))
     known = known.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    # At most ``most_labels`` rows of two numbers.
-    sample = docs.select(*id_text(doc_id, text)).join(F.broadcast(known), "doc_id").select("doc_id", "text", "grade")
+    # At most ``most_labels`` rows of two numbers; then as many documents, one for each id.
+    sample = docs.select(*id_text(doc_id, text)).join(F.broadcast(known), "doc_id").groupBy("doc_id", "grade")
+    sample = written(sample.agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("doc_id", "text", "grade"))
 
     def count(rows):
         seen: Counter = Counter()
@@ -176,13 +184,12 @@ def train(
     low = hit * (n_a + n_b - hit) * F.lit(float(n_a) * n_b)
     cross = cells[0] * (n_b - cells[1]) - cells[1] * (n_a - cells[0])
     score = F.when(low > 0, (n_a + n_b) * cross * cross / low).otherwise(0.0)
-    kept = counts.filter((F.length("feature") > 0) & (hit >= LEAST_DOCS)).withColumn("chi2", score)
-    kept = kept.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(MOST_FEATURES).collect()
+    kept = counts.filter((F.length("feature") > 0) & (hit >= min(LEAST_DOCS, n_a))).withColumn("chi2", score)
+    kept = kept.filter(F.col("chi2") >= min(LEAST_CHI2, (n_a + n_b) / 4)).orderBy(F.desc("chi2"), "feature").limit(MOST_FEATURES).collect()
     if not kept:
         return CumulativeLink({}, (math.inf,))
     names = [bytes(r.feature) for r in kept]
     column = {f: i for i, f in enumerate(names)}
-    positive = {i for i, r in enumerate(kept) if r.toxic * n_b > r.clean * n_a}
 
     def sparse(rows):
         for doc_id, text, grade in rows:
@@ -192,13 +199,9 @@ def train(
 
     # At most ``most_labels`` rows of at most MOST_FEATURES numbers, few in practice.
     rows = map_rows(sample, sparse, "doc_id long, grade int, cols array<int>, ns array<long>, words long").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.grade, r.cols, r.ns))
-    if max(r.grade for r in rows) <= 1:
-        share = [sum(n for c, n in zip(r.cols, r.ns, strict=True) if c in positive) / max(1, r.words) for r in rows]
-        middle = float(np.median([s for s, r in zip(share, rows, strict=True) if r.grade > 0]))
-        grades = [0 if r.grade <= 0 else 2 if s >= middle and s > 0 else 1 for s, r in zip(share, rows, strict=True)]
-    else:
-        grades = [max(0, r.grade) for r in rows]
+    rows = sorted(rows, key=lambda r: r.doc_id)
+    drop_written(sample)
+    grades = [r.grade for r in rows]
     levels = {g: k for k, g in enumerate(sorted(set(grades)))}
     weights, cuts = fit([(levels[g], values(r.cols, r.ns, r.words)) for g, r in zip(grades, rows, strict=True)], 2 * len(names), len(levels))
     pairs = weights.reshape(-1, 2).tolist()

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -79,6 +81,56 @@ def test_op2_odd(spark):
     assert toxicity.reject(docs.limit(0), model).count() == 0
 
 
+def brute_features(text):
+    """Occurrence by feature, from the definition: every word, and under '^' each beginning of 4 to 9 bytes of a longer one."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    found = Counter(words)
+    for w in words:
+        for size in range(4, 10):
+            if size < len(w):
+                found[b"^" + w[:size]] += 1
+    return found, len(words)
+
+
+def test_op2_by_brute_force(spark):
+    """Which features are kept, the grades that are learned from, and every score, from their definitions."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = queries.documents(spark, sf), queries.table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.toxic * (1 + (r.quality == 0)) for r in labels.collect() if r.doc_id in texts}
+    seen = [Counter(), Counter()]
+    for i, grade in marks.items():
+        seen[grade > 0].update(brute_features(texts[i])[0].keys())
+    n = [sum(g <= 0 for g in marks.values()), sum(g > 0 for g in marks.values())]
+    chosen = {f: toxicity.chi2(seen[1][f], seen[0][f], n[1], n[0]) for f in seen[0].keys() | seen[1].keys()}
+    limit = min(toxicity.LEAST_CHI2, sum(n) / 4)
+    wanted = {f for f, x in chosen.items() if x >= limit and seen[0][f] + seen[1][f] >= min(toxicity.LEAST_DOCS, n[1])}
+    assert 0 < len(wanted) <= toxicity.MOST_FEATURES and set(model.weights) == wanted
+    assert len(model.thresholds) == len(set(marks.values())) - 1
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        found, words = brute_features(text)
+        latent = sum(model.weights[f][0] + model.weights[f][1] * math.log1p(200 * k / (words + 50)) for f, k in found.items() if f in model.weights)
+        at_most = [1 / (1 + math.exp(latent - t)) for t in model.thresholds] + [1.0]
+        grades = [b - a for a, b in zip([0.0, *at_most], at_most, strict=False)]
+        severity = sum(k * p for k, p in enumerate(grades))
+        assert abs(severity - got[i].expected_severity) < 1e-6 and got[i].toxic == (got[i].expected_severity >= toxicity.CUT)
+        assert abs(grades[got[i].grade] - max(grades)) < 1e-9
+
+
+def test_op2_few_labels_and_repeated_ids(spark):
+    rows = [(i, f"plain text number {i}" + " idiot" * (i % 2)) for i in range(12)]
+    rows += [(1, "idiot again and again")] * 50 + [(2, "other words")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert b"idiot" in model.weights and len(model.thresholds) == 1
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(r.toxic == bool(r.doc_id % 2) for r in got)
+
+
 def test_op8(spark):
     assert_same(queries.op8_licenses(spark, SF), licenses.oracle_sql(), connect(SF))
 
