@@ -136,7 +136,7 @@ def test_op8(spark):
 
 
 def test_op8_odd(spark, tmp_path):
-    mit, apache = licenses.NOTICES[5][1], licenses.NOTICES[0][1]
+    mit, apache = licenses.NOTICES[0][1], "Licensed under the Apache License, Version 2.0"
     # DuckDB copies a text's words for each of its words, so the very long text is scanned by itself below.
     texts = [
         *(r for r in ODD if r[0] != 4), (5, f"x {mit.upper()} y"), (6, f"the {apache} and MIT  license, mit-license; licenſe"), (7, "mit licenKse Kind"),
@@ -148,13 +148,95 @@ def test_op8_odd(spark, tmp_path):
     got = licenses.scan(docs)
     assert_same(got, licenses.oracle_sql(), connect(tmp_path))
     rows = {r.doc_id: r for r in got.collect()}
-    assert rows[5].labels == rows[8].labels == "mit" and rows[5].score == 1 > rows[8].score >= licenses.LEAST_COVERAGE
+    assert rows[5].labels == rows[8].labels == "mit" and rows[5].score == 1 > rows[8].score >= licenses.LEAST_SCORE
     assert rows[6].base_labels == "apache,mit" and rows[6].n_base == 3 and rows[11].labels == "" and rows[12].first_word == 0
     long = licenses.scan(spark.createDataFrame([(4, "x " * 100_000 + mit)], "doc_id long, text string")).collect()
-    assert long[0].n_words == 100_000 + len(mit.split()) and long[0].labels == "mit"
+    assert long[0].n_words == 100_000 + len(licenses._plain_words(mit)) and long[0].labels == "mit"
     assert canonical(got.columns, got.limit(0).collect())[1] == [] and licenses.scan(docs.limit(0)).count() == 0
 
 
+def brute_licenses(text, templates):
+    """Label of the most similar template wherever a run of words fits one, by edit-free overlap of word triples of every window."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    doc = words(text)
+    triples = [tuple(doc[i : i + 3]) for i in range(len(doc) - 2)]
+    found = []
+    for label, t in templates:
+        w = words(t)
+        own = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for start in range(len(triples)):
+            if triples[start] in own:
+                for width in {len(w) - 2, len(w) - 2 + 3, len(w) - 2 - 3}:
+                    held = len(own & set(triples[start : start + width]))
+                    if width > 0 and held >= 0.6 * max(len(w) - 2, width):
+                        found.append((held / max(len(w) - 2, width), held, start, start + width, label))
+    winners = set()
+    for s in found:
+        if not any(o[:2] > s[:2] and o[4] != s[4] and o[2] < s[3] and s[2] < o[3] for o in found):
+            winners.add(s[4])
+    return winners
+
+
+CASES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+     " (the \"Software\"), to deal in the Software without any restriction at all, including without limitation the rights to use, copy, modify,"
+     " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to"
+     " do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or"
+     " substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+     " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("cc-by-sa", "Text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License unless it says so."),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("gpl,lgpl", "It comes under the GNU Lesser General Public License as it is"),
+    ("agpl,gpl", "is licensed under the GNU Affero General Public License, version 3 or later"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"
+     " the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND ISC DISCLAIMS ALL WARRANTIES"
+     " WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL ISC BE LIABLE FOR ANY"
+     " SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS"),
+    ("", "You need a license to drive, and permission is needed to copy software without restriction"),
+    ("", "licensed to sell under a roof of creative people, commons of attribution, 4 or 0 of them international"),
+]
+
+
+def bsd(clauses, who="THE REGENTS AND CONTRIBUTORS"):
+    text = dict(licenses.NOTICES)[f"bsd-{clauses}-clause"]
+    return text.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", who).replace("the copyright holder nor", "the University nor")
+
+
+def test_op8_labels(spark):
+    """Texts with one word more or less, told apart from their likes, among other words; against a brute-force search too."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("some other words that stand here or there").strip() or "x" for _ in range(n))
+    cases = [*CASES, ("bsd-2-clause", bsd(2)), ("bsd-3-clause", bsd(3)), ("apache,bsd-3-clause", bsd(3) + " " + say(9) + " Licensed under the Apache License, Version 2.0")]
+    texts = [f"{say(7)} {t} {say(7)}" for _, t in cases]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (want, text) in enumerate(cases):
+        assert rows[i].labels == want, (text, rows[i])
+        base = set(filter(None, rows[i].base_labels.split(",")))
+        assert base | brute_licenses(texts[i], licenses.NOTICES) == set(filter(None, want.split(",")))
+
+
+def test_op8_span_is_bounded(spark):
+    """Words put between all words of a notice: every k-gram is gone, or the span is too wide."""
+    notice = "Licensed under the Apache License, Version 2.0"
+    words = notice.split()
+    wide = " ".join(w + " filler" * (i % 3 == 2) * 6 for i, w in enumerate(words * 3))
+    got = licenses.scan(spark.createDataFrame([(1, wide), (2, f"{notice} x"), (3, " ".join(words[:5]))], "doc_id long, text string"))
+    assert {r.doc_id: r.score for r in got.collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_op8_long_text_in_slices(spark, monkeypatch):
+    """A notice across the border of two slices, wherever it stands, and templates of one's own."""
+    monkeypatch.setattr(licenses, "SLICE", 16)
+    notice = "You may read this text on Sundays only and never aloud"
+    docs = spark.createDataFrame([(k, "x " * k + notice + " y" * 40) for k in range(40)], "doc_id long, text string")
+    got = licenses.scan(docs, templates=[("sunday", notice)]).collect()
+    assert len(got) == 40 and all(r.labels == "sunday" and r.score == 1 for r in got)
+
+
 def test_op8_is_native(spark):
     plan = queries.op8_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
