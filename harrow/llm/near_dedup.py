@@ -3,15 +3,19 @@
 1. Each text becomes its set of 5-word shingles, 512 minima of it, the low two bits of each minimum
    packed into 128 bytes, and 32 band keys of four whole minima each. Texts with equal sets are one
    node from here on, however many copies there are.
-2. Nodes that share a band key form a bucket. Buckets over ``BLOCK`` nodes are split into blocks that
-   meet in pairs, so no task holds a whole bucket.
+2. Nodes that share a band key form a bucket. A bucket is cut into blocks of about ``BLOCK`` nodes, and each
+   node is compared within its own block: as many rows as nodes, however large the bucket.
 3. In a block the similarity of all pairs is estimated at once from counts of equal bit pairs,
    corrected for chance collisions. What leaves the block is a spanning forest of the best pairs.
 4. Pairs are confirmed on full sets, and linked nodes become components.
-5. Every further pair of a bucket that could be a link and joins two components is confirmed too, in
-   the block, where the full sets of the nodes concerned meet. So all links count, but pairs are never
+5. Buckets in which more than one component is left are compared in full: components of more than a block
+   are cut into blocks of their own, all others share blocks, and blocks meet in pairs, but never two
+   of one component. Every pair of different components that could be a link is confirmed, in the block, on the
+   full sets, which come in slices of the range of hashes. So all links count, but pairs are never
    listed: what leaves a block are its nodes, and links that join components.
 
+The fifth step costs what it must: pairs of nodes that share a bucket but no component.
+
 Chances of missing a link at similarity 0.75: no shared band, 5 in a million; an estimate under the
 limit (4.5 standard deviations), 4 in a million; both fall fast as similarity rises.
 
@@ -19,7 +23,7 @@ limit (4.5 standard deviations), 4 in a million; both fall fast as similarity ri
 * fewer words than a shingle has: the whole sequence is the one shingle;
 * null doc_id: linked like any other, never the smallest unless no row of the component has an id;
 * rows that repeat a doc_id: a row each, kept alike; ``dedup`` returns one row of each component;
-* very long text: its set in a worker's memory, minima in slices; empty table: no rows;
+* very long text: the sets of two texts in a worker's memory, of more only slices; empty table: no rows;
 * further columns, whatever their names, pass through ``dedup`` unread.
 """
 
@@ -41,6 +45,8 @@ SIMILARITY = 75
 MINIMA, BITS, BANDS, ROWS = 512, 2, 32, 4
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Hashes of a set that a unit's worker holds at a time.
+SLICE_HASHES = 8192
 #: Standard deviations below the threshold at which an estimate still counts.
 MARGIN = 4.5
 #: Ids with hashes that may be broadcast (16 bytes each); with more the join shuffles.
@@ -140,20 +146,61 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return map_rows(plain, run, "doc_id long, text_hash long, node binary, n_shingles long, bands array<long>, sig binary, keys binary")
 
 
-def units(sketched: DataFrame) -> DataFrame:
-    """unit, at, node, n, sig, keys: the blocks that are compared, for the band with number ``at``."""
-    nodes = sketched.filter("node is not null").dropDuplicates(["node"])
+def members(nodes: DataFrame) -> DataFrame:
+    """band, at, node, size: the nodes of each bucket of two or more; the band has number ``at``."""
     placed = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     full = written(placed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = placed.join(full, "band")
+    out = written(placed.join(full, "band").select("band", "at", "node", "size"))
+    drop_written(full)
+    return out
+
+
+_FACTS = ["unit", "at", "node", "n", "sig", "keys"]
+
+
+def _with_facts(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    return dealt.join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "keys"), "node")
+
+
+def own_units(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The blocks that are compared within themselves: each node once for each of its buckets."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.select("node", "at", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    unit = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
-    keyed = dealt.select("node", "at", unit.alias("unit"))
-    return keyed.join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "keys"), "node").select(
-        "unit", "at", "node", "n", "sig", "keys"
+    unit = F.xxhash64("band", F.pmod(F.xxhash64("node"), blocks))
+    return _with_facts(placed.select("node", "at", unit.alias("unit")), nodes).select(*_FACTS)
+
+
+def cross_units(placed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of blocks of buckets with more than one component; none of two blocks of one component."""
+    rooted = placed.join(roots, "node", "left").select("band", "at", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted)
+    sizes = written(rooted.groupBy("band", "root").agg(F.count("*").alias("m")))
+    several = sizes.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("small"))
+    several = written(several.filter("n > 1").withColumn("mixed", F.ceil(F.col("small") / BLOCK).cast("int")))
+    groups = sizes.join(several, "band")
+    large = groups.filter(F.col("m") > BLOCK).withColumn("slices", F.ceil(F.col("m") / BLOCK).cast("int"))
+    of_large = large.select("band", "root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    of_large = of_large.select("band", "root", F.xxhash64("root", "slice").alias("block"))
+    of_mixed = several.filter("mixed > 0").select("band", F.lit(None).cast("binary").alias("root"), F.explode(F.sequence(F.lit(0), F.col("mixed") - 1)).alias("block"))
+    blocks = of_large.unionByName(of_mixed.withColumn("block", F.col("block").cast("long")))
+    lists = blocks.groupBy("band").agg(F.collect_list(F.struct("block", "root")).alias("blocks"))
+    # For each component of more than a block, and for the others of a bucket together, the blocks that they meet.
+    kinds = large.select("band", "root").unionByName(several.filter("mixed > 0").select("band", F.lit(None).cast("binary").alias("root")))
+    meet = kinds.withColumnRenamed("root", "kind").join(lists, "band").select(
+        "band", F.coalesce("kind", F.lit(b"")).alias("kind"),
+        F.transform(F.filter("blocks", lambda x: F.col("kind").isNull() | ~x["root"].eqNullSafe(F.col("kind"))), lambda x: x["block"]).alias("others"),
+    )
+    meet = written(meet)
+    sized = written(groups.select("band", "root", "m", "mixed"))
+    slice_ = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("int")).cast("int")  # the type counts in the hash
+    own = F.when(F.col("m") > BLOCK, F.xxhash64("root", slice_)).otherwise(F.pmod(F.xxhash64("root"), F.col("mixed")))
+    named = rooted.join(sized, ["band", "root"]).select(
+        "band", "at", "node", "root", own.cast("long").alias("own"), F.when(F.col("m") > BLOCK, F.col("root")).otherwise(F.lit(b"")).alias("kind")
     )
+    dealt = named.join(meet, ["band", "kind"]).select("band", "at", "node", "root", "own", F.explode("others").alias("other"))
+    unit = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))
+    out = written(_with_facts(dealt.select("node", "at", "root", unit.alias("unit")), nodes).select(*_FACTS, "root"))
+    drop_written(rooted, sizes, several, meet, sized)
+    return out
 
 
 def _groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -236,11 +283,52 @@ def _shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cross_links(unit_rows: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+class _Joined:
+    """Which components a unit's links have joined."""
+
+    def __init__(self, group: list[tuple]) -> None:
+        self.group, self.of = group, {r[6]: r[6] for r in group}
+
+    def _find(self, x: bytes) -> bytes:
+        while self.of[x] != x:
+            self.of[x] = x = self.of[self.of[x]]
+        return x
+
+    def apart(self, k: int, j: int) -> bool:
+        return self._find(self.group[k][6]) != self._find(self.group[j][6])
+
+    def link(self, k: int, j: int) -> list[bytes]:
+        self.of[self._find(self.group[k][6])] = self._find(self.group[j][6])
+        return sorted((self.group[k][2], self.group[j][2]))
+
+
+class _Counter:
+    """Sizes of the intersections of a unit's candidate pairs, from one slice of the sets after another."""
+
+    def __init__(self, group: list[tuple], pairs: list[tuple[int, np.ndarray]]) -> None:
+        self.n, self.pairs = len(group), pairs
+        self.dense = sum(len(js) for _, js in pairs) > 2 * len(group)
+        self.both = np.zeros((self.n, self.n), np.float32) if self.dense else [np.zeros(len(js), np.int64) for _, js in pairs]
+
+    def add(self, parts: list[np.ndarray]) -> None:
+        # A comparison of two sets costs some 100 ns an element, a product far less.
+        if self.dense:
+            self.both += _shared_sizes(parts)
+            return
+        for (k, js), both in zip(self.pairs, self.both, strict=True):
+            for x, j in enumerate(js.tolist()):
+                both[x] += len(np.intersect1d(parts[k], parts[j], assume_unique=True))
+
+    def of_pair(self, at: int) -> np.ndarray:
+        k, js = self.pairs[at]
+        return self.both[k, js] if self.dense else self.both[at]
+
+
+def cross_links(unit_rows: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between different components that no forest of best pairs had, confirmed on full sets.
 
-    The first pass names the nodes of each unit that such a link could touch; the second gets their
-    texts, compares their sets in the unit, and lets a spanning part of the links out.
+    The first pass names the nodes of each unit that such a link could touch; the second gets their sets, a
+    slice of the range of hashes at a time, counts what pairs share, and lets a spanning part of the links out.
     """
     least = least_equal()
 
@@ -250,55 +338,77 @@ def cross_links(unit_rows: DataFrame, roots: DataFrame, texts: DataFrame) -> Dat
             for k, js in _cross(group, least):
                 touched.add(k)
                 touched.update(js.tolist())
+            most = max((group[k][3] for k in touched), default=0)
+            bits = max(0, (most - 1) // SLICE_HASHES).bit_length()
             for k in sorted(touched):
-                yield group[k]
+                yield *group[k], bits
+
+    def sliced(rows):
+        for *row, bits, hashes in rows:
+            yield *row, -1, None
+            whole = np.frombuffer(hashes, np.uint64)
+            ends = np.searchsorted(whole, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+            for k, part in enumerate(np.split(whole, ends)):
+                yield row[0], None, row[2], None, None, None, None, k, part.tobytes()
 
     def links(rows):
-        for group in _groups(rows):
-            pairs = list(_cross(group, least))
-            if not pairs:
-                continue
-            sets = [shingles(r[7]) for r in group]
-            sizes = np.array([len(x) for x in sets])
-            n = sum(len(js) for _, js in pairs)
-            # A comparison of two sets costs some 100 ns an element, a product far less.
-            shared = _shared_sizes(sets) if n > 2 * len(group) else None
-            joined = {r[6]: r[6] for r in group}
-
-            def find(x, joined=joined):
-                while joined[x] != x:
-                    joined[x] = x = joined[joined[x]]
-                return x
-
-            for k, js in pairs:
-                if shared is not None:
-                    both = shared[k, js]
-                    js = js[100 * both >= SIMILARITY * (sizes[k] + sizes[js] - both)]
-                for j in js.tolist():
-                    x, y = find(group[k][6]), find(group[j][6])
-                    if x != y and is_link(sets[k], sets[j]):
-                        joined[x] = y
-                        yield sorted((group[k][2], group[j][2]))
+        state = None
+
+        def finish():
+            group, counter = state[0], state[1]
+            if counter is None:
+                return
+            joined, sizes = _Joined(group), [r[3] for r in group]
+            for at, (k, js) in enumerate(counter.pairs):
+                for j, both in zip(js.tolist(), counter.of_pair(at).tolist(), strict=True):
+                    if 100 * both >= SIMILARITY * (sizes[k] + sizes[j] - both) and joined.apart(k, j):
+                        yield joined.link(k, j)
+
+        for unit, slice_, part in _slices(rows):
+            if slice_ < 0:
+                if state is not None:
+                    yield from finish()
+                pairs = list(_cross(part, least))
+                state = part, _Counter(part, pairs) if pairs else None, {r[2]: k for k, r in enumerate(part)}
+            elif state[1] is not None:
+                sets_ = [np.empty(0, np.uint64)] * len(state[0])
+                for r in part:
+                    sets_[state[2][bytes(r[2])]] = np.frombuffer(r[8], np.uint64)
+                state[1].add(sets_)
+        if state is not None:
+            yield from finish()
 
     head = "unit long, at int, node binary, n long, sig binary, keys binary, root binary"
-    named = unit_rows.join(roots, "node", "left")
-    named = named.select("unit", "at", "node", "n", "sig", "keys", F.coalesce("root", "node").alias("root"))
-    few = map_rows(named.repartition("unit").sortWithinPartitions("unit", "node"), concerned, head)
-    full = few.join(texts, "node").select("unit", "at", "node", "n", "sig", "keys", "root", "text")
-    return map_rows(full.repartition("unit").sortWithinPartitions("unit", "node"), links, "a binary, b binary").distinct()
+    few = map_rows(unit_rows.repartition("unit").sortWithinPartitions("unit", "node"), concerned, head + ", bits int")
+    few = written(few)
+    full = few.join(sets, "node").select(*_FACTS, "root", "bits", "hashes")
+    parts = map_rows(full, sliced, head + ", slice int, hashes binary")
+    out = map_rows(parts.repartition("unit").sortWithinPartitions("unit", "slice", "node"), links, "a binary, b binary")
+    out = written(out.distinct())
+    drop_written(few)
+    return out
+
+
+def _slices(rows: Iterator[tuple]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """unit, slice and rows of each run of rows with both alike."""
+    held: list[tuple] = []
+    for row in rows:
+        if held and (row[0], row[7]) != (held[0][0], held[0][7]):
+            yield held[0][0], held[0][7], held
+            held = []
+        held.append(row)
+    if held:
+        yield held[0][0], held[0][7], held
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``texts`` has a text for each node."""
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. ``sets`` has the sorted hashes of each node."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "set_a", "b", "set_b")
 
     def run(rows):
-        last, held = None, None
-        for a, text_a, b, text_b in rows:
-            if b != last:
-                last, held = b, shingles(text_b)
-            if is_link(shingles(text_a), held):
+        for a, set_a, b, set_b in rows:
+            if is_link(np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)):
                 yield a, b
 
     return map_rows(two, run, "a binary, b binary")
@@ -308,8 +418,8 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS else ids
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the given nodes; only documents with the smallest id of such a node are read again."""
+def _sets(docs: DataFrame, doc_id: str, text: str, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, hashes (sorted, 8 bytes each) of the given nodes; only documents with the smallest id of such a node are read again."""
     ids = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
     ids = written(ids)
     plain = docs.select(*id_text(doc_id, text))
@@ -319,10 +429,15 @@ def _texts(docs: DataFrame, doc_id: str, text: str, sketched: DataFrame, nodes:
         for (t,) in rows:
             s = shingles(t)
             if len(s):
-                yield xxhash.xxh3_128_digest(s.tobytes()), t
+                yield xxhash.xxh3_128_digest(s.tobytes()), s.tobytes()
 
-    found = map_rows(chosen, name, "node binary, text string", per_batch=500)
-    return written(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    found = written(map_rows(chosen, name, "node binary, hashes binary", per_batch=500))
+    # Ids that repeat, or that no row has, can bring a node more than once.
+    if found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return found
+    once = written(found.dropDuplicates(["node"]))
+    drop_written(found)
+    return once
 
 
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,15 +449,17 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``annotate`` with text_hash, and root: the same for all rows of a component of two rows or more, else null."""
     ship(docs.sparkSession)
     sketched = written(sketches(docs, doc_id, text))
-    unit_rows = written(units(sketched))
-    nodes = written(unit_rows.select("node").distinct())
-    texts = _texts(docs, doc_id, text, sketched, nodes)
-    first = written(best_pairs(unit_rows))
-    links = written(confirmed(first, texts))
-    roots = components(links)
-    rest = written(cross_links(unit_rows, roots, texts))
+    nodes = written(sketched.filter("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "bands", "sig", "keys"))
+    placed = members(nodes)
+    shared = written(placed.select("node").distinct())
+    sets = _sets(docs, doc_id, text, sketched, shared)
+    first = written(best_pairs(own_units(placed, nodes)))
+    links = written(confirmed(first, sets))
+    roots = written(components(links))
+    unit_rows = cross_units(placed, nodes, roots)
+    rest = cross_links(unit_rows, sets)
     if not rest.isEmpty():
-        roots = components(links.unionByName(rest))
+        roots = written(components(links.unionByName(rest)))
     # Of each node with copies or links, the smallest id of all that it can reach.
     classes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     named = classes.join(roots, "node", "left").filter("copies > 1 or root is not null")
@@ -353,7 +470,7 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     out = written(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), "root"))
-    drop_written(sketched, unit_rows, nodes, texts, first, links, rest, special)
+    drop_written(sketched, nodes, placed, shared, sets, first, links, roots, unit_rows, rest, special)
     return out
 
 
