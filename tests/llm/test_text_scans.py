@@ -192,7 +192,31 @@ def test_op6_random(spark, path):
     text = f"internationalisation20 key {key} 123e4567-e89b-12d3-a456-426614174000 {'9' * 40} {'ab12' * 8}"
     assert [text[a:b] for _, a, b in test.random_spans(text, [], secrets.MOST_RATIO)] == [key]
     got = secrets.scan(odd(spark), path, public_tokenizers.PATTERN).collect()
-    assert len(got) == len(ODD) and not any(r.n_assign or r.n_access or r.n_hex or r.n_random for r in got)
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, 0, 0, 0, nothing, "", 0) for i, _ in ODD), key=repr)
+    assert secrets.scan(odd(spark).limit(0), path, public_tokenizers.PATTERN).collect() == []
+
+
+def test_op6_rates(spark, path):
+    """How many random strings of each kind are found, and how many ordinary documents have a string taken for one."""
+    test, rng = secrets.TokenEfficiency(path, public_tokenizers.PATTERN), random.Random(1)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    upper, digits, special = lower.upper(), "0123456789", "!#$%*@^~"
+    for chars, least, rate in (
+        (lower + upper + digits, 16, 0.99), (lower + upper + digits + "+/", 20, 0.98), (upper + digits, 16, 0.97), (lower + digits, 16, 0.95),
+        (lower + upper + digits + special, 20, 0.97), (upper, 20, 0.95), (lower, 24, 0.9),
+    ):
+        found = 0
+        for _ in range(400):
+            key = "".join(rng.choice(chars) for _ in range(rng.randint(least, 48)))
+            spans = test.random_spans(f"it is set to {key} for now", [], secrets.MOST_RATIO)
+            found += any(b - a >= 0.7 * len(key) for _, a, b in spans)
+        assert found >= rate * 400, (chars, found)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(3000).collect()
+    wrong = sum(bool(test.random_spans(r.text, secrets.base_spans(r.text), secrets.MOST_RATIO)) for r in docs)
+    assert wrong <= 0.002 * len(docs)
+    code = 'f(a,b)!={"k":[1,2,3]}; x+=y*z%w; <a href="http://host.example/path?q=1&r=2#top">; user.name@mail-host.example; ****** ===== v1.2.3-rc4'
+    assert test.random_spans(code, [], secrets.MOST_RATIO) == []
 
 
 def test_op6_letters_short_keys_and_parts(path):
@@ -229,7 +253,44 @@ def test_op7_added(spark):
     assert [text[a:b] for _, a, b in pii.added_spans(text, [])] == ["GB82 WEST 1234 5698 7654 32", "078-05-1120", "078-05-1121"]
     long = "1" * 200_000 + "a" * 200_000 + "@" * 10 + "+" * 1000
     assert pii.base_spans(long) == []
-    assert pii.scan(odd(spark)).count() == len(ODD) and pii.scan(odd(spark).limit(0)).count() == 0
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert sorted(map(tuple, pii.scan(odd(spark)).collect()), key=repr) == sorted(((i, 0, 0, 0, 0, nothing, "", "", 0, 0.0) for i, _ in ODD), key=repr)
+    assert pii.scan(odd(spark).limit(0)).count() == 0
+
+
+def test_op7_scores(spark):
+    """Context counts as whole words, on both sides, within its reach; every span has its score."""
+    far = " filler" * 20
+    cases = [
+        ("ip 10.1.2.3", [0.95]), ("our membership 10.1.2.3", [0.6]), ("10.1.2.3 is the server", [0.95]), (f"server{far} 10.1.2.3", [0.6]),
+        ("version 10.1.2.3", [0.35]), ("the hotel: +49 30 1234567", [0.6]), ("tel: +49 30 1234567", [0.95]),
+        ("card 4111 1111 1111 1111 or server 10.1.2.3", [1.0, 0.95]), ("no data", []),
+        ("SSN 078-05-1120", [0.65]), ("it is 078-05-1120", []), ("serial ssn 078-05-1120", []),
+        ("IBAN GB82 WEST 1234 5698 7654 32 PLEASE PAY", [1.0]), ("GB82WEST12345698765432", [0.8]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.scan(docs).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i].scores == ",".join(f"{x:.2f}" for x in want), text
+        assert got[i].scores.count(",") == got[i].spans.count(",") and got[i].top_score == max(want, default=0.0)
+
+
+def test_op7_rates():
+    """Spans that checksums confirm among as many that they must not."""
+    rng = random.Random(3)
+    good = bad = 0
+    for _ in range(300):
+        digits = [rng.randint(0, 9) for _ in range(15)]
+        check = next(d for d in range(10) if pii.luhn("".join(map(str, [*digits, d]))))
+        body = "".join(map(str, digits))
+        good += pii.base_spans(f"paid by {body}{check} today") == [("card", 8, 24)]
+        bad += bool(pii.base_spans(f"paid by {body}{(check + 1) % 10} today"))
+        account = "".join(str(rng.randint(0, 9)) for _ in range(18))
+        number = next(x for k in range(2, 99) if pii.mod97(x := f"DE{k:02d}{account}"))
+        good += [x[0] for x in pii.added_spans(f"to {number} AND THEN", [])] == ["iban"]
+        wrong = number[:-1] + str((int(number[-1]) + 1) % 10)
+        bad += bool(pii.added_spans(f"to {wrong} AND THEN", []))
+    assert good == 600 and bad == 0
 
 
 def test_op7_iban_in_text():
