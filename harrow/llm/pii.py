@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their scores.
 
-Kinds of the base set stay whatever their score; IBANs (mod 97) and national id numbers are added
-where the score reaches ``LEAST_SCORE``. Every pattern runs in linear time on any text: a run that
+Each span has a score: that of its kind, raised if a word of its kind's context stands near, lowered if a word
+stands near that speaks of something else (a part number, a version). Kinds of the base set stay whatever their
+score; IBANs (mod 97) and national id numbers are added where the score reaches ``LEAST_SCORE``. Every pattern runs in linear time on any text: a run that
 cannot start a match is passed over once.
 
 * null or empty text: no spans; very long text: whole, in linear time; repeated documents: a row each;
@@ -32,6 +33,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
+_NEAR = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_PART_OF_WORD = re.compile(r"[\w-]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # Characters of an IBAN by country.
@@ -45,14 +48,23 @@ LEAST_IBAN = 15
 # Scores of the added kinds before context, and the words that raise them.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact"),
-    "ip": ("address", "host", "server", "ip"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "account", "bank"),
+    "email": ("mail", "email", "e-mail", "contact", "write"),
+    "ip": ("address", "host", "server", "ip", "login"),
+    "card": ("card", "visa", "mastercard", "credit", "debit", "payment", "paid"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax"),
+    "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
 }
-CONTEXT_GAIN = 0.35
+# The words that lower them.
+AGAINST = {
+    "email": ("example",),
+    "ip": ("version", "release", "section"),
+    "card": ("serial", "isbn", "part", "order"),
+    "phone": ("serial", "part", "order"),
+    "iban": ("serial", "part"),
+    "ssn": ("serial", "part", "order", "isbn"),
+}
+CONTEXT_GAIN, CONTEXT_LOSS = 0.35, 0.25
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -123,28 +135,41 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     return [s for s in found if not overlaps(s, taken) and score(text, s) >= LEAST_SCORE]
 
 
+def near_words(text: str, a: int, b: int) -> set[str]:
+    """The whole words, A-Z lowered, within CONTEXT_CHARS of the span."""
+    start, stop = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
+    left, right = text[start:a], text[b:stop]
+    found = _NEAR.findall(left), _NEAR.findall(right)
+    # A word that the window cuts is none.
+    if found[0] and start and _PART_OF_WORD.match(text[start - 1]) and _PART_OF_WORD.match(left[0]):
+        found[0].pop(0)
+    if found[1] and stop < len(text) and _PART_OF_WORD.match(text[stop]) and _PART_OF_WORD.match(right[-1]):
+        found[1].pop()
+    return {w.lower() for words in found for w in words}
+
+
 def score(text: str, span: tuple[str, int, int]) -> float:
-    """How sure a span is: its kind's score, raised if a context word is near."""
+    """How sure a span is, from 0 to 1."""
     kind, a, b = span
-    near = (text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]).lower()
-    return min(1.0, SCORES[kind] + CONTEXT_GAIN * any(w in near for w in CONTEXT[kind]))
+    near = near_words(text, a, b)
+    gain = CONTEXT_GAIN * (not near.isdisjoint(CONTEXT[kind])) - CONTEXT_LOSS * (not near.isdisjoint(AGAINST[kind]))
+    return round(max(0.0, min(1.0, SCORES[kind] + gain)), 4)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and top_score of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (of the spans, in turn), n_added and top_score."""
     ship(docs.sparkSession)
 
     def run(rows):
         for doc_id, text in rows:
             base = base_spans(text)
-            more = added_spans(text, base)
-            every = ordered([*base, *more], KINDS)
+            every = ordered([*base, *added_spans(text, base)], KINDS)
             counts = [sum(s[0] == k for s in base) for k in BASE]
-            top = max((score(text, s) for s in every), default=0.0)
-            yield doc_id, *counts, digest(base), joined(every), len(more), top
+            scores = [score(text, s) for s in every]
+            yield doc_id, *counts, digest(base), joined(every), ",".join(f"{x:.2f}" for x in scores), len(every) - len(base), max(scores, default=0.0)
 
     return map_rows(
         docs.select(*id_text(doc_id, text)), run,
         "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string,"
-        " n_added long, top_score double",
+        " scores string, n_added long, top_score double",
     )
