@@ -118,12 +118,30 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share. Set it only where it is unset."""
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, which all executors share. Set that only where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{top.rstrip('/')}/harrow_{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/harrow_{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has made in this application, once no lazy result reads them any more.
+
+    Operators drop what they need no longer; what their results are read from stays until this call.
+    """
+    _delete(spark, _own_folder(spark))
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -142,5 +160,4 @@ def drop_written(*frames: DataFrame) -> None:
     """Delete the files of tables that ``written`` made, once nothing reads them any more."""
     for frame in frames:
         for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(frame.sparkSession, folder)

@@ -9,7 +9,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from harrow.llm import decontaminate, queries, toxicity
+from harrow.llm import common, decontaminate, queries, toxicity
 from tests.llm.test_corpus import brute_components
 from tests.llm.test_text_scans import brute_hits
 
@@ -53,3 +53,16 @@ def test_stages(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_written_tables_are_deleted(spark):
+    """By the operators, what they need no longer; by ``sweep``, what is left."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(common._own_folder(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    one = common.written(spark.range(5))
+    two = common.written(one.filter("id > 1"))
+    common.drop_written(one)
+    assert two.count() == 3 and len(one.inputFiles()) > 0 and fs.exists(path)
+    assert not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f)) for f in one.inputFiles())
+    common.sweep(spark)
+    assert not fs.exists(path)
