@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.llm import bpe, decontaminate, exact_dedup, near_dedup, queries, toxicity
-from harrow.llm.common import written
+from harrow.llm.common import drop_written, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.documents(spark, sf_dir)
+    docs, last = queries.documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop_written(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
