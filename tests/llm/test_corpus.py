@@ -188,13 +188,13 @@ def test_lm_counts_and_score_by_brute_force(spark):
         assert np.array_equal(seen, factor.seen)
         for (k, r, o), n in list(counts.items())[:2000]:
             share = math.exp(factor.bias[r // factor.rows, o])
-            step = math.log((n + lm.SMOOTH * share) / ((seen[k, r] + lm.SMOOTH) * share))
-            assert abs(step - factor.weights[k, r, o]) < 0.01
+            assert abs(math.log1p(n / (lm.SMOOTH * share)) - lm.UNIT * float(factor.weights[k, r, o])) <= lm.UNIT / 2 + 1e-3
+        assert np.count_nonzero(factor.weights) == len(counts)
 
     def log_softmax(factor, group, rows, outcome):
         scores = factor.bias[group].astype(float)
         for k, r in enumerate(rows):
-            scores = scores + factor.steps[k][min(lm.SEEN - 1, int(factor.seen[k, r]).bit_length())] * factor.weights[k, r].astype(float)
+            scores = scores + factor.steps[k][min(lm.SEEN - 1, int(factor.seen[k, r]).bit_length())] * lm.UNIT * factor.weights[k, r].astype(float)
         return scores[outcome] - math.log(np.exp(scores).sum())
 
     got = {r.doc_id: r for r in lm.score(docs).collect()}
@@ -224,10 +224,10 @@ def test_lm_slope_is_that_of_the_likelihood(spark):
         for n, c in enumerate(classes.tolist()):
             scores = factor.bias[0].astype(float)
             for k in range(lm.KINDS):
-                w, seen = factor.weights[k, rows[k, n]].astype(float), float(factor.seen[k, rows[k, n]])
+                w, seen = lm.UNIT * factor.weights[k, rows[k, n]].astype(float), float(factor.seen[k, rows[k, n]])
                 prior = lm.SMOOTH * math.exp(factor.bias[0, c])
-                held = round(math.exp(w[c]) * prior / lm.SMOOTH * (seen + lm.SMOOTH) - prior)
-                w[c] += math.log((max(held - 1, 0) + prior) / (max(held, 1) + prior))
+                held = round(math.expm1(w[c]) * prior)
+                w[c] = math.log1p(max(held - 1, 0) / prior)
                 scores = scores + steps[k, min(lm.SEEN - 1, int(max(seen - 1, 0)).bit_length())] * w
             total += scores[c] - math.log(np.exp(scores).sum())
         return total
@@ -256,6 +256,17 @@ def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
     assert all(abs(one[i].score - again[i].score) < 1e-6 * one[i].n_tokens for i in one)
 
 
+def test_lm_counts_beyond_sixteen_bits():
+    shape = lm.Shape(1024, 1, 2)
+    counts, n = lm.Counts(shape), 150_000
+    one = np.zeros(lm.BATCH, np.int64)
+    for at in range(0, n, lm.BATCH):
+        size = min(lm.BATCH, n - at)
+        counts.add(one[:size], one[:size], np.full((lm.KINDS, size), 7, np.int32))
+    blocks = {(f, k, first): np.frombuffer(x, np.uint32) for f, k, first, x in counts.blocks()}
+    assert len(blocks) == 2 * lm.KINDS and all(x.sum() == x.max() == n for x in blocks.values())
+
+
 def test_lm_grows_with_the_corpus():
     small, large, huge = lm.shape_of(20_000, 5_000), lm.shape_of(4_000_000, 200_000), lm.shape_of(10**12, 10**9)
     assert small.rows < large.rows < huge.rows == lm.MOST_ROWS
@@ -286,7 +297,7 @@ def test_skip_feature_tells_words_apart():
             x += more
     factor.move(*sums)
     _, members, rows = draw(200)
-    scores = sum(w[r] for w, r in zip(factor.scaled(), rows, strict=True)) + factor.bias[0]
+    scores = sum(w[r] * x[r][:, None] for w, x, r in zip(factor.weights, factor.scales(), rows, strict=True)) + factor.bias[0]
     logs = lm._log_softmax(scores.astype(np.float32))
     assert np.exp(logs[np.arange(200), members]).mean() > 0.8
 
