@@ -87,7 +87,10 @@ def index_join(left: DataFrame, right: DataFrame, left_field: str, indexed_field
 
 
 def index_select(frame: DataFrame, field: str, value: int | str) -> DataFrame:
-    """Rows whose field equals the value: a pushed filter that skips row groups by their statistics."""
+    """Rows whose field equals the value: a pushed filter that skips files and row groups by their statistics.
+
+    It skips most of them in a table whose rows were loaded, compacted or clustered in the order of the field.
+    """
     if type_class(field_type(frame, field)) != ("string" if isinstance(value, str) else "number"):
         return frame.filter(F.lit(False))
     return frame.filter(F.col(field) == literal(value))
@@ -117,6 +120,6 @@ def group_by(frame: DataFrame, keys: Sequence[str], aggregates: Sequence[Aggrega
 
 
 def materialize(frame: DataFrame) -> DataFrame:
-    """Keep the rows of a plan that several others read; lost blocks are computed again."""
+    """Keep the rows of a plan that several others read, until ``unpersist``; lost blocks are computed again."""
     return frame.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -185,6 +185,7 @@ def _index_join(spark, d):
 def _index_select(spark, d):
     db = _nation(spark, d)
     db.execute("create index nation_region on nation(n_regionkey)")
+    db.cluster("nation_region")
     return db.index_select("nation_region", 3)
 
 

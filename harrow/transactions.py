@@ -13,7 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .errors import Conflict, EngineError, TransactionClosed, TypeMismatch, UnknownField, UnknownTable
+from .errors import Conflict, EngineError, TransactionClosed, TypeMismatch, UnknownField, UnknownIndex, UnknownTable
 from .functions.equality import expression, expression_class, literal, predicate
 from .plans import ast
 from .plans.catalog import Catalog
@@ -173,6 +173,17 @@ class Transaction:
         self._replace(name.lower(), small, lambda x: self._clustered(name.lower(), x.select(*rows.columns)).coalesce(few), whole=False)
         return len(small)
 
+    def cluster(self, index: str) -> int:
+        """Write the indexed table anew in the order of the indexed field, so that a look-up skips most files; its files before."""
+        self._check_open()
+        if index.lower() not in self._now.indexes:
+            raise UnknownIndex(index)
+        x = self._now.indexes[index.lower()]
+        self.table(x.table)
+        files = dict(self._own(x.table).files)
+        by_field = lambda frame: frame.repartitionByRange(F.col(x.field)).sortWithinPartitions(x.field)
+        return len(files) if self._replace(x.table, files, by_field, whole=False) else 0
+
     def _hits(self, name: str, rows: DataFrame, hit: Column) -> dict[str, int]:
         """Of each file with a hit, how many there are: one pass with the predicate pushed down, a row for each file."""
         if not self._now.tables[name].files:

@@ -262,6 +262,15 @@ def test_indexed_rows_are_clustered(db):
     spans = sorted((r.low, r.high) for r in spans)
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))  # a look-up meets one file
     assert rows(db.index_select("t_b", 5)) == Counter(x for x in data if x[1] == 5)
+    db.execute("create index t_a on t(a)")
+    before = db.table("t")
+    assert db.cluster("t_a") >= 1
+    spans = db.table("t").groupBy(db.storage.file_name().alias("f")).agg(F.min("a").alias("low"), F.max("a").alias("high")).collect()
+    spans = sorted((r.low, r.high) for r in spans)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert rows(db.table("t")) == rows(before) == Counter(data)
+    with pytest.raises(err.UnknownIndex):
+        db.cluster("nope")
 
 
 def test_sort_runs(spark):
