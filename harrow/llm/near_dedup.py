@@ -418,10 +418,9 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS else ids
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, hashes (sorted, 8 bytes each) of the given nodes; only documents with the smallest id of such a node are read again."""
-    ids = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    ids = written(ids)
+    ids = written(classes.join(nodes, "node", "left_semi").select("id").distinct())
     plain = docs.select(*id_text(doc_id, text))
     chosen = plain.join(_bounded(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
@@ -452,7 +451,10 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = written(sketched.filter("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "bands", "sig", "keys"))
     placed = members(nodes)
     shared = written(placed.select("node").distinct())
-    sets = _sets(docs, doc_id, text, sketched, shared)
+    # Copies are counted before their rows move: a text that a third of all rows share is a row for each task.
+    classes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = written(classes)
+    sets = _sets(docs, doc_id, text, classes, shared)
     first = written(best_pairs(own_units(placed, nodes)))
     links = written(confirmed(first, sets))
     roots = written(components(links))
@@ -461,7 +463,6 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     if not rest.isEmpty():
         roots = written(components(links.unionByName(rest)))
     # Of each node with copies or links, the smallest id of all that it can reach.
-    classes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     named = classes.join(roots, "node", "left").filter("copies > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -470,7 +471,7 @@ def _annotated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     out = written(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), "root"))
-    drop_written(sketched, nodes, placed, shared, sets, first, links, roots, unit_rows, rest, special)
+    drop_written(sketched, nodes, placed, shared, classes, sets, first, links, roots, unit_rows, rest, special)
     return out
 
 
