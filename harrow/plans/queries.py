@@ -68,7 +68,7 @@ ORACLES = SELECTS | {
     "rollback_snapshot": "select r_regionkey, r_name from region",
     "one_buffer_sort": "select s_nationkey, s_suppkey from supplier order by s_nationkey, s_suppkey",
     "sort_runs": "select l_orderkey, l_linenumber, true as in_order from lineitem",
-    "groupby_registered": "select c_mktsegment, sum(c_custkey) as sumofc_custkey, min(c_name) as minofc_name from customer group by c_mktsegment",
+    "groupby_registered": "select c_mktsegment, cast(sum(c_custkey) as bigint) as sumofc_custkey, min(c_name) as minofc_name from customer group by c_mktsegment",
     "indexes_of": "select * from (values ('p_day', 'purchase_day'), ('p_shop', 'purchase_shop')) t(fieldname, indexname)",
     "insert_together": "select r_regionkey, r_name from region union all"
     " select cast(5 as int) as r_regionkey, 'ATLANTIS' as r_name union all select cast(6 as int), 'LEMURIA'",
