@@ -26,7 +26,7 @@ from itertools import chain
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ddl, id_text, map_rows, ship
+from .common import ddl, id_text, kept, map_rows, ship
 
 MOST_EDGES = 300_000
 MOST_WORDS = 120_000
@@ -257,14 +257,9 @@ def incomplete(raw: bytes) -> int:
     return 0
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec for a vocabulary file."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    return kept(__name__, (path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def _digested(own: Codec, text: str) -> tuple[list[int], str, str, int]:

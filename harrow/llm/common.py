@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -36,6 +38,36 @@ def id_text(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
 
 
+#: What a Python worker keeps from task to task: of one operator at a time, so that a chain of operators does not add up.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """The worker's object ``key`` of an operator, made when it is first asked for."""
+    forget_others(owner)
+    own = _KEPT.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def forget_others(owner: str) -> None:
+    others = [o for o in _KEPT if o != owner]
+    for o in others:
+        del _KEPT[o]
+    if others:
+        gc.collect()
+
+
+def give_back() -> None:
+    """Return memory that a task has freed to the system; a worker that is used again would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
 def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, per_batch: int = 2000) -> DataFrame:
     """``rows`` turns an iterator over a partition's rows into one over result rows.
 
@@ -59,6 +91,7 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
             columns = zip(zip(*held, strict=True), arrow, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=arrow)
 
+        forget_others(owner)
         held, size = [], 0
         for row in rows(given()):
             held.append(row)
@@ -69,7 +102,10 @@ def map_rows(frame: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]
                 held, size = [], 0
         if held:
             yield batch(held)
+        held.clear()
+        give_back()
 
+    owner = rows.__module__
     return frame.mapInArrow(run, schema)
 
 

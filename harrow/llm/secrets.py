@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from .bpe import load_ranks
-from .common import id_text, map_rows, ship
+from .common import id_text, kept, map_rows, ship
 from .spans import digest, joined, ordered, overlaps
 
 KINDS = ("assign", "access", "hex", "random")
@@ -130,17 +130,12 @@ class TokenEfficiency:
         return found
 
 
-_TESTS: dict[tuple[str, str], TokenEfficiency] = {}
-
-
 def scan(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", most_ratio: float = MOST_RATIO) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of every document."""
     ship(docs.sparkSession)
 
     def run(rows):
-        if (path, pattern) not in _TESTS:
-            _TESTS[path, pattern] = TokenEfficiency(path, pattern)
-        test = _TESTS[path, pattern]
+        test = kept(__name__, (path, pattern), lambda: TokenEfficiency(path, pattern))
         for doc_id, text in rows:
             base = base_spans(text)
             more = test.random_spans(text, base, most_ratio)

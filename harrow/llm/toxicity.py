@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, drop_written, id_text, map_rows, ship, written
+from .common import alnum_words, drop_written, forget_others, id_text, map_rows, ship, written
 
 #: Bounds of the fit: labelled rows and weights.
 MOST_LABELS = 20_000
@@ -231,6 +231,7 @@ def reject(docs: DataFrame, model: CumulativeLink, text: str = "text") -> DataFr
     shared = spark.sparkContext.broadcast(model)
 
     def below(texts: pd.Series) -> pd.Series:
+        forget_others(__name__)
         return pd.Series([shared.value.severity(t) < CUT for t in texts], dtype=bool)
 
     stays = F.pandas_udf(below, "boolean")
