@@ -250,6 +250,9 @@ def test_log_is_bounded(db, monkeypatch):
     assert sorted(db.storage._numbers()) == [6, 7, 8]
     assert not db.storage.append(2, empty) and not db.storage.append(8, empty)  # 2 is free, but was taken once
     assert db.storage.last()[0] == 8 and sorted(db.storage._numbers()) == [6, 7, 8]
+    found = db.storage._numbers
+    monkeypatch.setattr(db.storage, "_numbers", lambda: [*found(), 10])  # another writer builds on 9 at once
+    assert db.storage.append(9, empty)
 
 
 def test_indexed_rows_are_clustered(db):
