@@ -143,23 +143,28 @@ def test_op4_rare_words_by_join(spark):
 def small_model(spark, n=60):
     docs = spark.createDataFrame(texts(spark)[:n], "doc_id long, text string")
     corpus = lm.corpus_of(lm.count_words(docs))
-    return docs, corpus, lm.train(docs, corpus)
+    return docs, corpus, lm.train(lm.encode(docs, corpus), corpus)
+
+
+def read(corpus, texts):
+    """words, codes, classes, members and feature rows of the texts."""
+    words, starts, codes = lm.Reader(corpus).read(texts)
+    return words, codes, *lm.Coding(corpus).features(codes, starts)
 
 
 def test_lm_is_a_distribution(spark):
     """The probabilities of all words and of an unknown one add up to one after any history."""
     docs, corpus, model = small_model(spark)
     scorer, head = lm.Scorer(model), corpus.shape.head
-    *_, rows = lm.Reader(corpus).read([texts(spark)[3][1]])
+    *_, rows = read(corpus, [texts(spark)[3][1]])
     rows = rows[:, :5]
-    outer = np.exp(scorer.logs(0, np.zeros(5, int), rows))
-    assert np.allclose(outer.sum(axis=1), 1, atol=1e-4)
-    total = outer[:, head:].sum(axis=1)  # tail classes share all of their mass out
+    total = np.zeros(5)
     for c in range(head):
-        (_, _, _), (group, inner, _) = corpus.shape.places(np.full(5, c), np.zeros(5, int), rows)
-        assert np.allclose(np.exp(scorer.logs(1, group, inner)).sum(axis=1), 1, atol=1e-4)
-        total += outer[:, c]
-    assert np.allclose(total, 1, atol=1e-4)
+        for m in range(corpus.shape.members):
+            total += np.exp(scorer.log_probs(np.full(5, c), np.full(5, m), rows))
+    for c in range(head, corpus.shape.classes):  # tail classes share all of their mass out
+        total += np.exp(scorer.log_probs(np.full(5, c), np.full(5, -1), rows))
+    assert np.allclose(total, 1, atol=1e-3)
     counts = Counter(x for i, t in texts(spark)[:60] if zlib.crc32(str(i).encode()) % 5 != 1 for x in (t.encode().lower().split() + [b""]))
     mass = defaultdict(float)
     for word, c in counts.items():
@@ -171,11 +176,11 @@ def test_lm_is_a_distribution(spark):
 def test_lm_counts_and_score_by_brute_force(spark):
     """Counts of rows over all training documents, and the score of a text, one token and one outcome at a time."""
     docs, corpus, model = small_model(spark)
-    reader, shape = lm.Reader(corpus), corpus.shape
+    shape = corpus.shape
     want = [defaultdict(int), defaultdict(int)]
     for i, t in texts(spark)[:60]:
         if zlib.crc32(str(i).encode()) % 5 != 1:
-            _, _, _, classes, members, rows = reader.read([t])
+            _, _, classes, members, rows = read(corpus, [t])
             for n, (c, m) in enumerate(zip(classes.tolist(), members.tolist(), strict=True)):
                 for k in range(lm.KINDS):
                     want[0][k, int(rows[k, n]), c] += 1
@@ -199,7 +204,7 @@ def test_lm_counts_and_score_by_brute_force(spark):
 
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     for i, t in texts(spark)[:6]:
-        words, _, place, classes, members, rows = reader.read([t])
+        words, place, classes, members, rows = read(corpus, [t])
         total = 0.0
         for n, (c, m) in enumerate(zip(classes.tolist(), members.tolist(), strict=True)):
             total += log_softmax(model.outer, 0, rows[:, n], c)
@@ -213,7 +218,7 @@ def test_lm_counts_and_score_by_brute_force(spark):
 
 def test_lm_slope_is_that_of_the_likelihood(spark):
     _, corpus, model = small_model(spark)
-    _, _, _, classes, members, rows = lm.Reader(corpus).read([t for _, t in texts(spark)[:4]])
+    _, _, classes, members, rows = read(corpus, [t for _, t in texts(spark)[:4]])
     factor = lm.Factor(model.outer.bias, model.outer.rows)
     factor.weights, factor.seen = model.outer.weights, model.outer.seen
     group = np.zeros(len(classes), np.int64)
@@ -267,6 +272,13 @@ def test_lm_counts_beyond_sixteen_bits():
     assert len(blocks) == 2 * lm.KINDS and all(x.sum() == x.max() == n for x in blocks.values())
 
 
+def test_lm_places_of_the_largest_model():
+    shape = lm.shape_of(10**12, 10**9)
+    classes = np.array([0, shape.head - 1, shape.head], np.int16)
+    _, (group, rows, _) = shape.places(classes, np.array([0, 1, -1], np.int16), np.full((lm.KINDS, 3), shape.rows - 1, np.int32))
+    assert group.tolist() == [0, shape.head - 1] and rows[0].tolist() == [shape.inner - 1, shape.rows - 1]
+
+
 def test_lm_grows_with_the_corpus():
     small, large, huge = lm.shape_of(20_000, 5_000), lm.shape_of(4_000_000, 200_000), lm.shape_of(10**12, 10**9)
     assert small.rows < large.rows < huge.rows == lm.MOST_ROWS
@@ -298,17 +310,16 @@ def test_skip_feature_tells_words_apart():
     factor.move(*sums)
     _, members, rows = draw(200)
     scores = sum(w[r] * x[r][:, None] for w, x, r in zip(factor.weights, factor.scales(), rows, strict=True)) + factor.bias[0]
-    logs = lm._log_softmax(scores.astype(np.float32))
-    assert np.exp(logs[np.arange(200), members]).mean() > 0.8
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    assert p[np.arange(200), members].mean() > 0.8
 
 
 def test_reader_keeps_texts_apart():
     corpus = lm.Corpus(3, 2, [b"a", b"b"], np.array([2.0, 1.0]), np.zeros(lm.TAIL), lm.shape_of(3, 2))
-    reader = lm.Reader(corpus)
-    together = reader.read(["a b c a", "", "b", "x y z"])
-    apart = [reader.read([t]) for t in ("a b c a", "", "b", "x y z")]
-    assert together[0] == [w for x in apart for w in x[0]] and together[1].tolist() == [0, 5, 6, 8]
-    for k in (2, 3, 4, 5):
+    together = read(corpus, ["a b c a", "", "b", "x y z"])
+    apart = [read(corpus, [t]) for t in ("a b c a", "", "b", "x y z")]
+    assert together[0] == [w for x in apart for w in x[0]]
+    for k in (1, 2, 3, 4):
         assert np.array_equal(together[k], np.concatenate([x[k] for x in apart], axis=-1))
 
 
