@@ -34,7 +34,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and digests: the ids are decoded again, and the decoded text's digest is kept."""
-    return bpe.encoded(docs, *queries.vocabulary())
+    # The workers have run the other stages, so the encoder's caches are the small ones.
+    return bpe.encoded(docs, *queries.vocabulary(), caches=bpe.LEAN_CACHES)
 
 
 STAGES = [
