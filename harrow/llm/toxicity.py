@@ -41,6 +41,8 @@ PREFIXES = range(4, 10)
 #: cannot exceed their number, a quarter of them, and as many documents as are toxic at most.
 LEAST_DOCS = 4
 LEAST_CHI2 = 25.0
+#: Values of labelled rows that a round of the fit takes at once.
+BLOCK = 1 << 17
 #: Expected severity from which a document is rejected.
 CUT = 0.5
 
@@ -102,10 +104,24 @@ class CumulativeLink:
 
 def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int, rounds: int = 600, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from (grade, {feature: value}) rows, by full-batch Adam on the mean log loss."""
-    grade = np.array([g for g, _ in rows])
-    doc = np.array([i for i, (_, x) in enumerate(rows) for _ in x], dtype=np.int64)
-    col = np.array([c for _, x in rows for c in x], dtype=np.int64)
-    val = np.array([v for _, x in rows for v in x.values()], dtype=np.float64)
+    sizes = [len(x) for _, x in rows]
+    col = np.fromiter((c for _, x in rows for c in x), np.int32, sum(sizes))
+    val = np.fromiter((v for _, x in rows for v in x.values()), np.float64, sum(sizes))
+    return fit_arrays(np.array([g for g, _ in rows]), np.r_[0, np.cumsum(sizes, dtype=np.int64)], col, val, n_features, n_grades, rounds, ridge)
+
+
+def fit_arrays(
+    grade: np.ndarray, ends: np.ndarray, col: np.ndarray, val: np.ndarray, n_features: int, n_grades: int,
+    rounds: int = 600, ridge: float = 1e-3,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``fit`` on arrays: row k has the features ``col[ends[k]:ends[k + 1]]`` with these values.
+
+    Each round takes some ``BLOCK`` values after another, so that it needs little memory beside the arrays.
+    """
+    n = len(grade)
+    cuts_at = np.searchsorted(ends, np.arange(BLOCK, len(col), BLOCK))
+    edges = sorted({0, *cuts_at.tolist(), n})
+    blocks = [(slice(a, b), slice(ends[a], ends[b]), np.diff(ends[a : b + 1])) for a, b in zip(edges, edges[1:], strict=False)]
     # Thresholds are the first one and the logs of the gaps, so they stay in order.
     share = np.array([np.mean(grade <= k) for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
@@ -114,14 +130,18 @@ def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int
     for step in range(1, rounds + 1):
         w, gaps = params[:n_features], np.exp(params[n_features + 1 :])
         cuts = np.r_[-np.inf, params[n_features] + np.r_[0, np.cumsum(gaps)], np.inf]
-        latent = np.bincount(doc, val * w[col], len(rows))
+        latent = np.zeros(n)
+        for own, at, sizes in blocks:
+            latent[own] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), val[at] * w[col[at]], len(sizes))
         upper = 1 / (1 + np.exp(np.clip(latent - cuts[grade + 1], -500, 500)))
         lower = 1 / (1 + np.exp(np.clip(latent - cuts[grade], -500, 500)))
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p  # of log p by its upper and its lower cut
         slope = np.zeros_like(params)
-        slope[:n_features] = np.bincount(col, val * (du - dl)[doc], n_features) / len(rows) + ridge * w / 2
-        by_cut = np.array([dl[grade == k + 1].sum() - du[grade == k].sum() for k in range(n_grades - 1)]) / len(rows)
+        for own, at, sizes in blocks:
+            slope[:n_features] += np.bincount(col[at], val[at] * np.repeat((du - dl)[own], sizes), n_features)
+        slope[:n_features] = slope[:n_features] / n + ridge * w / 2
+        by_cut = np.array([dl[grade == k + 1].sum() - du[grade == k].sum() for k in range(n_grades - 1)]) / n
         slope[n_features] = by_cut.sum()
         slope[n_features + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * gaps
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
@@ -129,12 +149,12 @@ def fit(rows: list[tuple[int, dict[int, float]]], n_features: int, n_grades: int
     return params[:n_features], params[n_features] + np.r_[0, np.cumsum(np.exp(params[n_features + 1 :]))]
 
 
-def values(columns: list[int], counts: list[int], n_words: int) -> dict[int, float]:
-    """A document's two values for each of its kept features."""
-    out = {}
-    for c, n in zip(columns, counts, strict=True):
-        out[2 * c], out[2 * c + 1] = 1.0, rate(n, n_words)
-    return out
+def values(columns: list[int], counts: list[int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a document's two values for each of its kept features, and the values."""
+    col, val = np.empty((len(columns), 2), np.int32), np.ones((len(columns), 2))
+    col[:] = 2 * np.array(columns, np.int32)[:, None] + np.arange(2, dtype=np.int32)
+    val[:, 1] = [rate(n, n_words) for n in counts]
+    return col.reshape(-1), val.reshape(-1)
 
 
 def chi2(a: int, b: int, n_a: int, n_b: int) -> float:
@@ -195,15 +215,19 @@ def train(
         for doc_id, text, grade in rows:
             found = features(text)
             hits = sorted((column[f], n) for f, n in found.items() if f in column)
-            yield doc_id, grade, [c for c, _ in hits], [n for _, n in hits], len(alnum_words(text))
+            col, val = values([c for c, _ in hits], [n for _, n in hits], len(alnum_words(text)))
+            yield doc_id, grade, col.tobytes(), val.tobytes()
 
-    # At most ``most_labels`` rows of at most MOST_FEATURES numbers, few in practice.
-    rows = map_rows(sample, sparse, "doc_id long, grade int, cols array<int>, ns array<long>, words long").collect()
-    rows = sorted(rows, key=lambda r: r.doc_id)
+    # At most ``most_labels`` rows of at most 2 * MOST_FEATURES values of 12 bytes, few in practice; as arrays, not as objects.
+    rows = map_rows(sample, sparse, "doc_id long, grade int, cols binary, vals binary", per_batch=500).collect()
+    rows.sort(key=lambda r: r.doc_id)
     drop_written(sample)
     grades = [r.grade for r in rows]
+    ends = np.r_[0, np.cumsum([len(r.cols) // 4 for r in rows], dtype=np.int64)]
+    col, val = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((2, np.int32), (3, np.float64)))
+    del rows
     levels = {g: k for k, g in enumerate(sorted(set(grades)))}
-    weights, cuts = fit([(levels[g], values(r.cols, r.ns, r.words)) for g, r in zip(grades, rows, strict=True)], 2 * len(names), len(levels))
+    weights, cuts = fit_arrays(np.array([levels[g] for g in grades]), ends, col, val, 2 * len(names), len(levels))
     pairs = weights.reshape(-1, 2).tolist()
     return CumulativeLink({f: (a, b) for f, (a, b) in zip(names, pairs, strict=True)}, tuple(cuts.tolist()))
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -47,6 +48,32 @@ def test_slopes_are_those_of_the_loss():
                 assert loss(w, moved) >= best - 1e-6
 
 
+def test_fit_needs_little_memory_beside_its_arrays(monkeypatch):
+    """The same by blocks as at once, and a round needs less than another copy of the values."""
+    rng = np.random.default_rng(5)
+    n, each = 4000, 250
+    col = np.concatenate([rng.choice(2000, each, replace=False) for _ in range(n)]).astype(np.int32)
+    val, grade = rng.random(n * each), rng.integers(0, 2, n)
+    ends = np.arange(n + 1) * each
+    tracemalloc.start()
+    blocks = toxicity.fit_arrays(grade, ends, col, val, 2000, 2, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < val.nbytes
+    monkeypatch.setattr(toxicity, "BLOCK", 10**9)
+    once = toxicity.fit_arrays(grade, ends, col, val, 2000, 2, rounds=3)
+    rows = [(int(g), dict(zip(col[a : a + each].tolist(), val[a : a + each].tolist(), strict=True))) for g, a in zip(grade, ends[:-1], strict=True)]
+    dicts = toxicity.fit(rows, 2000, 2, rounds=3)
+    for other in (once, dicts):
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(blocks, other, strict=True))
+
+
+def test_labelled_rows_reach_the_driver_as_arrays():
+    col, val = toxicity.values([1, 7], [2, 1], 30)
+    assert col.tolist() == [2, 3, 14, 15] and val.tolist() == [1.0, toxicity.rate(2, 30), 1.0, toxicity.rate(1, 30)]
+    assert [x.tolist() for x in toxicity.values([], [], 0)] == [[], []]
+
+
 def test_op2_held_out(spark):
     """Some labels are noise: texts marked toxic without a marked word, and a few the other way round."""
     sf = "/root/testdata/sf0.1"
