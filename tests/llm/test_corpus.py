@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import os
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -285,6 +287,20 @@ def test_lm_grows_with_the_corpus():
     assert small.head * small.members < large.head * large.members <= huge.head * huge.members == lm.MOST_HEAD
 
 
+def test_lm_broadcasts_are_small_and_deleted(spark):
+    docs, corpus, model = small_model(spark)
+    again = pickle.loads(pickle.dumps(model))
+    for a, b in ((model.outer, again.outer), (model.inner, again.inner)):
+        assert np.array_equal(a.weights, b.weights) and np.array_equal(a.seen, b.seen) and np.array_equal(a.bins, b.bins)
+    for x in (model, lm.Scorer(model)):
+        assert len(pickle.dumps(x)) < sum(f.weights.nbytes for f in (model.outer, model.inner)) / 4
+    args = read(corpus, [texts(spark)[3][1]])[2:]
+    assert np.array_equal(lm.Scorer(model).log_probs(*args), pickle.loads(pickle.dumps(lm.Scorer(model))).log_probs(*args))
+    before = set(os.listdir(spark.sparkContext._temp_dir))
+    assert lm.score(docs).count() == docs.count()
+    assert set(os.listdir(spark.sparkContext._temp_dir)) <= before
+
+
 def test_skip_feature_tells_words_apart():
     """Of two words in one class the word before the last decides, whatever the last one."""
     rng = np.random.default_rng(3)
